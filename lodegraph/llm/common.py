@@ -15,11 +15,14 @@ BATCH_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let workers import this package, and keep Arrow batches small."""
+    """Let workers import this package, keep Arrow batches small, and have workers return freed memory."""
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if REPO not in have.split(":"):
         env["PYTHONPATH"] = f"{REPO}:{have}" if have else REPO
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    env.setdefault("MALLOC_ARENA_MAX", "2")
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", "131072")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

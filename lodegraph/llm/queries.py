@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import line_dedup, packing
+from lodegraph.llm import langid, line_dedup, packing, pieces, quality, warc
 from lodegraph.llm.common import read
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -17,7 +21,21 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op5_line_dedup)}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.apply_rules(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.learn(docs))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_bundles(*warc.write_bundles(read(spark, sf_dir, "pages")))
+
+
+QUERIES = {f.__name__: f for f in (op2_pieces, op4_packing, op5_line_dedup, op6_quality, op7_langid, op8_warc)}
 
 #: The white space that keys lose at both ends.
 WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -33,4 +51,11 @@ marked as (select doc_id, n, line, coalesce(doc_id <> f, false) as gone from lin
 select doc_id, count(*) as n_lines, cast(count(*) filter (gone) as bigint) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by n) filter (not gone), '')) as kept_sha256
 from marked group by doc_id""",
+    "op8_warc": """
+with p as (select page_id, coalesce(html, '') as h, sha256(coalesce(html, '')) as d from pages),
+f as (select d, min(page_id) as first from p where strlen(h) >= 100 group by d)
+select page_id, strlen(h) as payload_bytes, p.d as payload_digest,
+       case when first < page_id then 'revisit' else 'response' end as record_type,
+       case when first < page_id then first end as refers_to
+from p left join f on p.d = f.d and strlen(h) >= 100""",
 }
