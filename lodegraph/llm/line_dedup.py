@@ -3,7 +3,7 @@
 A first pass hashes every key of every document into a *once-seen* and a *twice-seen* Bloom
 filter. The filters are sharded: tasks send sorted bit positions of a shard, one fold per
 shard merges them (a bit that two tasks both set in their once-filters goes to the
-twice-filter). The filter grows with the number of lines up to ``MAX_FILTER_BITS``, so what
+twice-filter). The filter grows with the bytes of text up to ``MAX_FILTER_BITS``, so what
 is broadcast never exceeds ``MAX_FILTER_BITS / 8`` bytes; beyond that more lines pass the
 filter, which costs shuffle but never changes the result.
 
@@ -32,10 +32,10 @@ from lodegraph.llm.common import prepare, texts
 MIN_KEY_CHARS = 10
 #: Bits of one shard of a filter; positions within it fit in 16 bits.
 SHARD_BITS = 1 << 16
-#: Bits for each line, and the most bits of a filter: 32 MB are broadcast at most.
-BITS_PER_LINE, MAX_FILTER_BITS = 8, 1 << 28
+#: Bytes of text for each bit, and the most bits of a filter: 32 MB are broadcast at most.
+BYTES_PER_BIT, MAX_FILTER_BITS = 10, 1 << 28
 #: Hashes that a task holds before it sends them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 18
 #: Ends that are stripped, as bytes.
 SPACE = b" \t\n\x0b\x0c\r"
 #: In place of a null doc_id: after all others.
@@ -120,8 +120,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def twice_filter(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> tuple[np.ndarray, int]:
     """The merged twice-seen filter as packed bits, and its number of shards."""
-    n_lines = docs.select(F.sum(F.length("text") - F.length(F.translate(F.col("text").cast("string"), "\n", "")) + 1).alias("n")).first()["n"] or 0
-    bits = min(MAX_FILTER_BITS, max(SHARD_BITS, 1 << int(n_lines * BITS_PER_LINE).bit_length()))
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MAX_FILTER_BITS, max(SHARD_BITS, 1 << (size // BYTES_PER_BIT).bit_length()))
     shards = bits // SHARD_BITS
     parts = docs.select("text").mapInArrow(_filter_parts(shards, min_chars), "shard long, once binary, twice binary")
     merged = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merged, "shard long, bits binary")
