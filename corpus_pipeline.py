@@ -1,10 +1,82 @@
-"""A training-corpus pipeline: stages that each take and return documents."""
+"""A training-corpus pipeline: stages that each take and return documents.
+
+Each stage is (name, function) with the function taking (spark, docs, sf_dir). What a stage
+keeps is all that the next one sees; the columns other than text travel along untouched.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodegraph.llm import line_dedup, ngram_join, packing, quality, secrets
+from lodegraph.llm.common import read, stored
+
+
+def _carry(docs: DataFrame) -> str:
+    """All columns as one value, whatever their names."""
+    return "struct(" + ", ".join(f"`{c.replace('`', '``')}`" for c in docs.columns) + ")"
+
+
+def _back(rows: DataFrame, docs: DataFrame, text=None) -> DataFrame:
+    """The columns of docs from carry, with text replaced; n_chars follows the text."""
+    out = []
+    for c in docs.columns:
+        if c == "text" and text is not None:
+            out.append(text.alias(c))
+        elif c == "n_chars" and text is not None:
+            out.append(F.length(text).cast(docs.schema[c].dataType).alias(c))
+        else:
+            out.append(F.col("carry").getField(c).alias(c))
+    return rows.select(*out)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the trees reject go."""
+    forest = quality.train(docs, read(spark, sf_dir, "labels"))
+    return _back(quality.apply_rules(docs, forest, carry=_carry(docs)).filter("kept"), docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; a document of which no line is left stays with an empty text."""
+    kept = line_dedup.dedup_lines(docs, carry=_carry(docs))
+    return _back(kept, docs, F.when(F.col("carry.text").isNotNull(), F.col("kept").cast("string")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest doc_id."""
+    groups = ngram_join.near_groups(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(groups, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti").dropDuplicates(["doc_id"]) if _repeats(docs) else docs.join(groups, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+
+
+def _repeats(docs: DataFrame) -> bool:
+    """Whether a doc_id stands in several rows."""
+    return bool(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count())
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret found becomes a mark."""
+    scanned = secrets.scan(docs, carry=_carry(docs))
+    return _back(scanned, docs, F.when(F.col("carry.text").isNotNull(), secrets.redacted()))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in windows of 4096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", dedup_lines), ("n-gram Jaccard join", near_duplicates), ("secret scans", redact_secrets), ("packing", pack_windows)]
+
+#: The trees and the tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs, f"stage{k}")
+    return docs

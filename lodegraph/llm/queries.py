@@ -5,14 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import langid, line_dedup, packing, pieces, quality, warc
+from lodegraph.llm import langid, licenses, line_dedup, media, ngram_join, packing, pieces, quality, secrets, warc
 from lodegraph.llm.common import read
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
+
+
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,7 +43,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(*warc.write_bundles(read(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op2_pieces, op4_packing, op5_line_dedup, op6_quality, op7_langid, op8_warc)}
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's picture, and the edited copies, against each other."""
+    return media.copies(media.pictures(read(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_pieces, op3_ngram_join, op4_packing, op5_line_dedup, op6_quality, op7_langid, op8_warc, op9_licenses, op10_media)}
 
 #: The white space that keys lose at both ends.
 WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
