@@ -1,4 +1,6 @@
 """The registered queries of the graph engine and their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodegraph.plans import catalog_gql
+
+QUERIES: dict = {**catalog_gql.QUERIES}
+ORACLES: dict = {**catalog_gql.ORACLES}
