@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Edges up to which a whole-graph kernel may run in one task; beyond it the relational loop runs.
-KERNEL_EDGES = 400_000
+KERNEL_EDGES = 2_000_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -251,14 +251,14 @@ def _scan(graph: Graph, node: Node, conditions: list[tuple[str, str, str]]) -> D
 
 
 def hops(starts: DataFrame | None, edges: DataFrame, low: int, high: int) -> DataFrame:
-    """(s, e) of walks of low to high steps: one row for each end and number of steps."""
+    """(__s, __e) of walks of low to high steps: one row for each end and number of steps."""
     step = edges.select("src", "dst").distinct()
-    frontier = step.select(F.col("src").alias("s"), F.col("dst").alias("e"))
+    frontier = step.select(F.col("src").alias("__s"), F.col("dst").alias("__e"))
     if starts is not None:
-        frontier = frontier.join(starts.select(F.col("id").alias("s")).distinct(), "s", "left_semi")
+        frontier = frontier.join(starts.select(F.col("id").alias("__s")).distinct(), "__s", "left_semi")
     out = frontier if low <= 1 else None
     for depth in range(2, high + 1):
-        frontier = frontier.join(step, F.col("e") == F.col("src")).select("s", F.col("dst").alias("e")).distinct()
+        frontier = frontier.join(step, F.col("__e") == F.col("src")).select("__s", F.col("dst").alias("__e")).distinct()
         if depth % 4 == 0:
             from lodegraph.operators.iterate import cut
 
@@ -298,17 +298,17 @@ def compile_query(graph: Graph, query: Query) -> DataFrame:
                 source, target = p[k - 1].var, p[k + 1].var
                 edges = graph.of([x.edge])
                 begin = scans[source] if part is None else part.select(F.col(source).alias("id"))
-                walk = hops(begin, edges, x.low, x.high) if x.many else edges.distinct().select(F.col("src").alias("s"), F.col("dst").alias("e"))
+                walk = hops(begin, edges, x.low, x.high) if x.many else edges.distinct().select(F.col("src").alias("__s"), F.col("dst").alias("__e"))
                 if not x.many and begin is not None and part is None:
-                    walk = walk.join(begin.select(F.col("id").alias("s")), "s", "left_semi")
+                    walk = walk.join(begin.select(F.col("id").alias("__s")), "__s", "left_semi")
                 if scans[target] is not None:
-                    walk = walk.join(scans[target].select(F.col("id").alias("e")), "e", "left_semi")
+                    walk = walk.join(scans[target].select(F.col("id").alias("__e")), "__e", "left_semi")
                 if part is None:
-                    part = walk.select(F.col("s").alias(source), F.col("e").alias(target)) if source != target else walk.filter("s = e").select(F.col("s").alias(source))
+                    part = walk.select(F.col("__s").alias(source), F.col("__e").alias(target)) if source != target else walk.filter("__s = __e").select(F.col("__s").alias(source))
                 elif target in seen:  # closes a cycle
-                    part = part.join(walk, (F.col(source) == F.col("s")) & (F.col(target) == F.col("e"))).drop("s", "e")
+                    part = part.join(walk, (F.col(source) == F.col("__s")) & (F.col(target) == F.col("__e"))).drop("__s", "__e")
                 else:
-                    part = part.join(walk.withColumnRenamed("e", target), F.col(source) == F.col("s")).drop("s")
+                    part = part.join(walk.withColumnRenamed("__e", target), F.col(source) == F.col("__s")).drop("__s")
                 if target not in seen:
                     seen.append(target)
         if rows is None:
