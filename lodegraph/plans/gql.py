@@ -330,7 +330,8 @@ def run(graph: Graph, text: str, explain: bool = False):
     communities = {x.var for p in query.patterns for x in p if isinstance(x, Node) and x.kind == "Community"}
     for var in list(ids.columns):
         if var in communities:
-            look = graph.communities.select(F.col("community_id").alias(var), F.lit("Module").alias(f"{var}_type"), F.col("label").alias(f"{var}_name"), F.lit(None).cast("string").alias(f"{var}_file"))
+            known = graph.communities if graph.communities is not None else graph.nodes.select(F.col("id").alias("community_id"), F.col("name").alias("label")).limit(0)
+            look = known.select(F.col("community_id").alias(var), F.lit("Module").alias(f"{var}_type"), F.col("label").alias(f"{var}_name"), F.lit(None).cast("string").alias(f"{var}_file"))
         else:
             look = graph.nodes.select(F.col("id").alias(var), F.col("node_type").alias(f"{var}_type"), F.col("name").alias(f"{var}_name"), F.col("file_path").alias(f"{var}_file"))
         ids = ids.join(look, var)

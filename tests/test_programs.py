@@ -1,6 +1,7 @@
 """Program analysis on small control-flow graphs."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodegraph.operators import flow, taint
 from lodegraph.operators.flow import Function
@@ -40,7 +41,7 @@ def test_reaching_definitions_and_dependences():
     assert {d for k, v, d in uses if k == 6} == {0, 2, 5}
     data = {(a, c, t): loop for a, c, v, t, loop in f.data}
     assert data[(5, 4, "Flow")] and not data[(0, 1, "Flow")]
-    assert (4, 5) not in f.control and any(a == 4 for a, _ in f.control)
+    assert f.control == [(2, 4), (3, 4), (5, 4)]
 
 
 def test_slices_and_aliases():
@@ -97,3 +98,49 @@ def test_types_and_mutations(spark):
     writes = spark.createDataFrame([("A.set", "o", "pkg.Order", "status", "f", 3, "DirectField"), ("Order.__init__", "self", "Order", "status", "f", 1, "ThisField"), ("B.g", "z", None, "status", "f", 9, "Unresolved")], "function string, receiver_local string, receiver_type string, member string, file string, line int, kind string")
     assert [r.function for r in taint.mutations(writes, "Order").collect()] == ["A.set"]
     assert taint.mutations(writes, "Order", unresolved=True, constructors=True).count() == 3
+
+
+CODE = """
+def handle(request, n):
+    x = request.GET['a']
+    for i in range(n):
+        if i > 3:
+            continue
+        x = x + str(i)
+    try:
+        cursor.execute(x)
+    except ValueError:
+        return None
+    while n:
+        break
+    match n:
+        case 1:
+            y = 1
+        case _:
+            y = 2
+    return y
+class Order:
+    def set(self, other: Order):
+        self.status = 1
+        other.total = 2
+        z.a = 3
+"""
+
+
+def test_python_control_flow(spark):
+    from lodegraph.sources import python_flow
+
+    files = spark.createDataFrame([("a.py", CODE), ("bad.py", "def ("), ("empty.py", None)], "path string, text string")
+    known, stmts, edges = python_flow.control_flow(files)
+    assert {r.name for r in known.collect()} == {"handle", "Order.set"}
+    fn_id = known.filter("name = 'handle'").first().fn
+    mine = stmts.filter(F.col("fn") == fn_id)
+    assert {r.kind for r in mine.collect()} >= {"Branch", "Return", "Jump", "Assignment", "FunctionCall"}
+    found = taint.flows(stmts, edges).collect()
+    assert [(f.source_type, f.sink_type, f.vulnerable) for f in found] == [("HttpParameter", "SqlQuery", True)]
+    live = flow.blocks(stmts, edges).filter(F.col("fn") == fn_id)
+    assert live.filter("in_cycle").count() >= 2
+    writes = {(r.receiver_local, r.receiver_type, r.member, r.kind) for r in python_flow.field_writes(files).collect()}
+    assert writes == {("self", "Order", "status", "ThisField"), ("other", "Order", "total", "DirectField"), ("z", None, "a", "Unresolved")}
+    tree = python_flow.skeleton(files, 2)
+    assert tree.filter("kind = 'FunctionDef' and file = 'a.py'").count() == 2
