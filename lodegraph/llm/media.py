@@ -2,7 +2,8 @@
 
 Describing: Harris corners at several scales; the direction from a corner to the centroid of
 its neighbourhood turns a fixed pattern of pixel pairs, and each pair's comparison is one of
-128 bits. Matching: the bits are cut into four tables of 32; images whose descriptors agree in
+126 bits; the pairs are close together, so that bits depend little on each other. Matching: the
+bits are cut into three tables of 42; images whose descriptors agree in
 a table entry share a node (the node machinery of the n-gram join: equal nodes once, large nodes
 in blocks, each pair in the first node it shares). Verifying: mutual best matches by Hamming
 distance vote for one similarity transform, and a pair is linked if enough of them agree.
@@ -31,12 +32,23 @@ from pyspark.sql import functions as F
 from lodegraph.llm.common import prepare, stored
 from lodegraph.llm.ngram_join import components, shared_nodes
 
-SIDE, BITS, RADIUS, MARGIN = 64, 128, 7, 9
+SIDE, RADIUS, MARGIN = 64, 7, 9
+TABLES, TABLE_BITS = 3, 42
+BITS = TABLES * TABLE_BITS
 SCALES, KEYPOINTS = (1.0, 0.7), 16
 MAX_DISTANCE, MIN_AGREE, TOLERANCE = 14, 5, 2.5
 BLOCK = 64
-#: The pixel pairs, drawn once from a fixed seed.
-PATTERN = np.clip(np.random.default_rng(128).normal(0, RADIUS / 2, (BITS, 2, 2)), -RADIUS + 1, RADIUS - 1)
+
+
+def _pairs(seed: int = 128, spread: float = 3.0) -> np.ndarray:
+    """The pixel pairs: a place within the radius and one near it, drawn once from a fixed seed."""
+    rng = np.random.default_rng(seed)
+    first = rng.uniform(-RADIUS + 2, RADIUS - 2, (BITS, 2))
+    return np.clip(np.stack([first, first + rng.normal(0, spread, (BITS, 2))], axis=1), -RADIUS, RADIUS)
+
+
+PATTERN = _pairs()
+WEIGHTS = np.int64(1) << np.arange(TABLE_BITS, dtype=np.int64)
 _Y, _X = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 DISC = (_X**2 + _Y**2 <= RADIUS**2).astype(float)
 
@@ -76,7 +88,7 @@ def _resized(image: np.ndarray, scale: float) -> np.ndarray:
 
 
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keypoints (x, y, scale, angle) and their 128-bit descriptors as four 32-bit words."""
+    """Keypoints (x, y, scale, angle) and their descriptors, a number for each table."""
     points, words = [], []
     for scale in SCALES:
         a = _blur(_resized(image.astype(float), scale))
@@ -100,10 +112,10 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         px = np.rint(c * PATTERN[:, :, 0] - s * PATTERN[:, :, 1]).astype(int) + xs[:, None, None]
         py = np.rint(s * PATTERN[:, :, 0] + c * PATTERN[:, :, 1]).astype(int) + ys[:, None, None]
         v = a[np.clip(py, 0, h - 1), np.clip(px, 0, w - 1)]
-        words.append(np.packbits(v[:, :, 0] < v[:, :, 1], axis=1).view("<u4"))
+        words.append((v[:, :, 0] < v[:, :, 1]).reshape(-1, TABLES, TABLE_BITS) @ WEIGHTS)
         points.append(np.stack([xs / scale, ys / scale, np.full(len(xs), scale), angle], axis=1))
     if not points:
-        return np.zeros((0, 4)), np.zeros((0, BITS // 32), "<u4")
+        return np.zeros((0, 4)), np.zeros((0, TABLES), np.int64)
     return np.concatenate(points), np.concatenate(words)
 
 
@@ -160,13 +172,13 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p, w = describe(np.frombuffer(pixels, np.uint8).reshape(-1, width))
             cls.append(hashlib.blake2b(width.to_bytes(4, "little") + pixels, digest_size=16).digest())
             points.append(p.astype("<f4").tobytes())
-            words.append(w.reshape(-1).astype(np.int64))
+            words.append(w.reshape(-1))
         yield pa.RecordBatch.from_pydict({"media_id": batch.column(0), "cls": pa.array(cls, pa.binary()), "points": pa.array(points, pa.binary()), "words": pa.array(words, pa.list_(pa.int64()))})
 
 
 def _keys(words: np.ndarray) -> np.ndarray:
-    """Table entries as single numbers: table times 2**32 plus word; sorted."""
-    return np.unique(words + (np.arange(words.shape[1]) << 32))
+    """Table entries as single numbers: the table above the descriptor's bits; sorted."""
+    return np.unique(words + (np.arange(TABLES, dtype=np.int64) << TABLE_BITS))
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,17 +188,17 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
             return
         cls, side = [r[0] for r in rows], np.array([r[1] for r in rows])
-        points, words = [np.frombuffer(r[2], "<f4").reshape(-1, 4) for r in rows], [r[3].reshape(-1, BITS // 32) for r in rows]
+        points, words = [np.frombuffer(r[2], "<f4").reshape(-1, 4) for r in rows], [r[3].reshape(-1, TABLES) for r in rows]
         entries = [_keys(w) for w in words]
-        this = (key[0] << 32) + key[1]
+        flat, owner = np.concatenate(entries), np.repeat(np.arange(len(rows)), [len(e) for e in entries])
+        this = (key[0] << TABLE_BITS) + key[1]
         two = key[2] != key[3]
         counts, edges = np.zeros(len(rows), np.int64), []
         for a in range(len(rows)):
-            for b in range(a + 1, len(rows)):
-                if two and side[a] == side[b]:
-                    continue
-                common = np.intersect1d(entries[a], entries[b], assume_unique=True)
-                if common[0] == this and agreeing(points[a], words[a].astype("<u4"), points[b], words[b].astype("<u4")) >= MIN_AGREE:
+            # a pair that shares an earlier entry counts there
+            met = np.bincount(owner[np.isin(flat, entries[a][entries[a] < this])], minlength=len(rows)) > 0
+            for b in np.flatnonzero(~met & ((side != side[a]) if two else True) & (np.arange(len(rows)) > a)).tolist():
+                if agreeing(points[a], words[a], points[b], words[b]) >= MIN_AGREE:
                     counts[[a, b]] += 1
                     edges.append((a, b))
         if edges:
@@ -223,7 +235,7 @@ def copies(media: DataFrame) -> DataFrame:
     prepare(media.sparkSession)
     described = stored(media.select("media_id", "pixels", "width").mapInArrow(_described, "media_id long, cls binary, points binary, words array<long>"), "described")
     classes = stored(described.filter("cls is not null").groupBy("cls").agg(F.min("media_id").alias("rep"), F.first("points").alias("points"), F.first("words").alias("words")), "images")
-    entries = classes.select("cls", F.posexplode("words").alias("at", "node")).select("cls", F.pmod("at", F.lit(BITS // 32)).alias("tree"), "node").distinct()
+    entries = classes.select("cls", F.posexplode("words").alias("at", "node")).select("cls", F.pmod("at", F.lit(TABLES)).alias("tree"), "node").distinct()
     dealt = shared_nodes(entries, BLOCK)
     rows = dealt.join(classes.select("cls", "points", "words"), "cls").select("tree", "node", "i", "j", "cls", "side", "points", "words")
     keys = ["tree", "node", "i", "j"]
