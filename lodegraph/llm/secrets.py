@@ -136,14 +136,11 @@ def trigram_query(rule: Rule) -> Query:
     return _and(query, _grams(exact)) if exact is not None else query
 
 
-def present(text: Column, trigrams: list[str]) -> Column:
-    """Those of the trigrams that a lower-cased text holds."""
-    return F.array_compact(F.array(*(F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in trigrams)))
-
-
 def postings(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The inverted index for some trigrams: (trigram, doc_id)."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(present(F.lower(F.col(text_col)), trigrams)).alias("trigram"))
+    """The inverted index for some trigrams: (trigram, doc_id). A text is lower-cased once for all of them."""
+    low = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("low"))
+    held = F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams))
+    return low.select("doc_id", F.explode(held).alias("trigram")).filter("trigram is not null")
 
 
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
