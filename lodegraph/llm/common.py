@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 REPO = str(Path(__file__).resolve().parents[2])
 #: Rows in an Arrow batch: bounds a Python worker's memory when texts are long.
@@ -55,3 +56,9 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def with_carry(schema: str, rows: DataFrame):
+    """A schema with the type of the rows' carry column, if they have one, at its end."""
+    out = StructType.fromDDL(schema)
+    return out.add("carry", rows.schema["carry"].dataType) if "carry" in rows.columns else out

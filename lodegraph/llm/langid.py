@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import prepare
+from lodegraph.llm.common import prepare, with_carry
 
 #: Most labelled documents that the network is trained on, and windows taken of each.
 TRAIN_ROWS, TRAIN_WINDOWS = 3000, 2
@@ -209,5 +209,4 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     """doc_id, held_out, lang_pred, score of each row; carry is an SQL expression whose value travels along."""
     prepare(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"), *([F.expr(carry).alias("carry")] if carry else []))
-    extra = f", carry {base.schema['carry'].dataType.simpleString()}" if carry else ""
-    return base.mapInArrow(_predicted(net, bool(carry)), "doc_id long, held_out boolean, lang_pred string, score double" + extra)
+    return base.mapInArrow(_predicted(net, bool(carry)), with_carry("doc_id long, held_out boolean, lang_pred string, score double", base))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import prepare, texts
+from lodegraph.llm.common import prepare, texts, with_carry
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Most labelled documents that the trees are fitted on.
@@ -221,5 +221,4 @@ def apply_rules(docs: DataFrame, forest: Forest | None, id_col: str = "doc_id",
     """The statistics of each row, base_failed, kept and score; carry is an SQL expression whose value travels along."""
     prepare(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), *([F.expr(carry).alias("carry")] if carry else []))
-    extra = f", carry {base.schema['carry'].dataType.simpleString()}" if carry else ""
-    return base.mapInArrow(_measured(forest, False, bool(carry)), COLUMNS + ", kept boolean, score double" + extra)
+    return base.mapInArrow(_measured(forest, False, bool(carry)), with_carry(COLUMNS + ", kept boolean, score double", base))
