@@ -194,7 +194,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         # large star: every larger neighbour of a node points at the smallest of its neighbourhood
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = stored(large, "large-star")
         # small star: every smaller neighbour, and the node, point at the smallest of them
@@ -256,6 +256,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group = linked.select("cls", "root").join(smallest, "root").select("cls", "class_id")
     known = classes.select("cls", "rep").join(group, "cls", "left").join(links, "cls", "left")
     known = known.select("cls", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = stored(known, "known")  # a plain table again, so that the join may split a hot class
     own_row = signed.select("doc_id", "cls").join(known, "cls", "left")
     lone = F.col("cls").isNull()
     return own_row.select("doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
