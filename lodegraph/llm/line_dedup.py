@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import prepare, texts
+from lodegraph.llm.common import prepare, stored, texts, with_carry
 
 MIN_KEY_CHARS = 10
 #: Bits of one shard of a filter; positions within it fit in 16 bits.
@@ -187,11 +187,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = spark.sparkContext.broadcast(bits)
     suspects = base.mapInArrow(_suspects(table, shards, min_chars), "doc_id long, key binary")
     repeated = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key", "first")
+    repeated = stored(repeated, "repeated")  # a plain table again, so that the join may split a hot key
     drops = suspects.join(repeated, "key").filter("doc_id > first").groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("key").alias("drop"))
     full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), F.expr(carry).alias("carry"))
     joined = full.join(drops, F.coalesce("doc_id", F.lit(LAST)) == F.col("drop_id"), "left").select("doc_id", "text", "drop", "carry")
-    kind = joined.schema["carry"].dataType.simpleString()
-    return joined.mapInArrow(_kept(min_chars), f"doc_id long, n_lines long, n_dropped long, kept binary, carry {kind}")
+    return joined.mapInArrow(_kept(min_chars), with_carry("doc_id long, n_lines long, n_dropped long, kept binary", joined))
 
 
 def digest(kept: DataFrame) -> DataFrame:
