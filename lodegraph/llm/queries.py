@@ -57,7 +57,31 @@ QUERIES = {f.__name__: f for f in (op1_secrets, op2_pieces, op3_ngram_join, op4_
 #: The white space that keys lose at both ends.
 WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+
+def _secrets_sql() -> str:
+    """All kinds' matches with their places: a match starts after the gaps and matches before it."""
+    parts = []
+    for rank, r in enumerate(secrets.RULES):
+        expression = r.regex.replace("'", "''")
+        if "(?i:" in expression:  # letters A to Z only
+            head, _, rest = expression.partition("(?i:")
+            word, _, rest = rest.partition("))")
+            expression = head + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word) + ")" + rest
+        size = f"length(regexp_extract(s, '{expression}', {r.group}))" if r.group else "length(s)"
+        parts.append(f"""select doc_id, {rank} as rank, '{r.kind}' as kind, start, start + length(s) as stop from (
+  select doc_id, m[i] as s, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as start
+  from (select doc_id, regexp_extract_all(tx, '{expression}') as m, string_split_regex(tx, '{expression}') as g from d) q, unnest(range(1, len(m) + 1)) as u(i)) where {size} >= {r.least}""")
+    line = "kind || ':' || cast(start as bigint) || ':' || cast(stop as bigint)"
+    return f"""with d as (select doc_id, coalesce(text, '') as tx from documents), f as ({' union all '.join(parts)})
+select doc_id, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex,
+       sha256(coalesce(string_agg({line}, ',' order by start, rank) filter (rank < 3), '')) as base_sha256,
+       coalesce(string_agg({line}, ',' order by start, rank) filter (rank is not null), '') as spans
+from d left join f using (doc_id) group by doc_id"""
+
+
 ORACLES = {
+    "op1_secrets": _secrets_sql(),
     "op5_line_dedup": f"""
 with lines as (
   select doc_id, n, line, translate(trim(line, {WS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
