@@ -199,7 +199,10 @@ def harmonic_sketch(spark, d):
     return ranking.harmonic_sketch(P.p3(spark, d, "purchase"))
 
 
-@query()
+@query(f"""with recursive {U}, {D},
+r(s, e, d, n) as (select id, id, 0, 1.0::double from n union all select r.s, c.dst, r.d + 1, sum(r.n) from r join c on c.src = r.e join p on p.s = r.s and p.e = c.dst and p.d = r.d + 1 group by r.s, c.dst, r.d + 1),
+b as (select x.e as id, sum(x.n * y.n / z.n) as b from r x join r y on y.s = x.e join r z on z.s = x.s and z.e = y.e and z.d = x.d + y.d where x.d > 0 and y.d > 0 group by x.e), k as (select count(*) as n from n)
+select n.id, round(coalesce(b, 0) / ((k.n - 1) * (k.n - 2)), 6) as betweenness from n join k on true left join b using (id)""")
 def betweenness(spark, d):
     return rounded(ranking.betweenness(P.p3(spark, d, "purchase")), "betweenness")
 
@@ -361,3 +364,50 @@ def neighbour_expansion(spark, d):
     g = P.p2(spark, d)
     s = g.nodes.filter("id = 2000000007").select(F.col("id").alias("seed"), "id")
     return reach.bfs(s, g.of(), 2, backward=False).select("id", "depth")
+
+
+@query(f"with {N} select id, name from n order by id limit 50 offset 100")
+def page_nodes(spark, d):
+    from lodegraph.operators import facade
+
+    return facade.page(P.p1(spark, d, 42), ["Function"], 100, 50).select("id", "name")
+
+
+@query(f"with {C(42)} select src, dst from c where src % 7 = 0 and dst % 7 = 0")
+def induced_calls(spark, d):
+    from lodegraph.operators import facade
+
+    g = P.p1(spark, d, 42)
+    return facade.among(g, g.nodes.filter("id % 7 = 0"))
+
+
+@query(f"with n as ({P.P2_NODES_SQL}), e as ({P.P2_EDGES_SQL}) select 'node' as kind, node_type as type, count(*) as n from n group by node_type union all select 'edge', edge_type, count(*) from e group by edge_type")
+def graph_status(spark, d):
+    from lodegraph.operators import facade
+
+    return facade.status(P.p2(spark, d))
+
+
+@query(f"with recursive {N}, {C(45)}, {R}, {S} select x.id, x.scc, r.s as member from s x join r on r.e = x.id")
+def closure_table(spark, d):
+    from lodegraph.operators import facade
+
+    return facade.closure_table(P.p1(spark, d, 45))
+
+
+@query(f"with recursive {_walk(42, 2, 'id % 100 = 3')}, v as (select seed, id, min(d) as d from w where d > 0 and id % 100 <> 3 group by all), k as (select *, row_number() over (partition by seed order by d, id) as k from v) select seed as anchor, id, 'called_by' as relation from k where k <= 20")
+def expand_callers(spark, d):
+    """What calls an anchor within two steps, twenty rows for each anchor at most: the cap is the operator's."""
+    from lodegraph.operators import semantic
+
+    g = P.p1(spark, d, 42)
+    return semantic.expand(g, g.nodes.filter("id % 100 = 3"), "neighbors", 2).filter("relation = 'called_by'")
+
+
+@query(f"with recursive {_walk(45, 10, 'id % 9 = 0')}, z as (select distinct seed as id, w.id as member from w where d > 0 and seed <> w.id) select id, 'ScaleFailure' as kind, cast(count(*) as varchar) as detail, true as first from z group by id having count(*) > 6")
+def check_changes(spark, d):
+    from lodegraph.operators import facade
+
+    g = P.p1(spark, d, 45)
+    g = Graph(g.nodes.withColumn("file_path", F.concat(F.lit("f"), F.col("id") % 9)), g.edges)
+    return facade.check(g, g.nodes.filter("id % 9 = 0").select("file_path"), max_impact=6)
