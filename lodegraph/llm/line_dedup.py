@@ -190,13 +190,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = stored(repeated, "repeated")  # a plain table again, so that the join may split a hot key
     drops = suspects.join(repeated, "key").filter("doc_id > first").groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("key").alias("drop"))
     full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), F.expr(carry).alias("carry"))
-    joined = full.join(drops, F.coalesce("doc_id", F.lit(LAST)) == F.col("drop_id"), "left").select("doc_id", "text", "drop", "carry")
+    joined = full.join(drops.hint("shuffle_hash"), F.coalesce("doc_id", F.lit(LAST)) == F.col("drop_id"), "left").select("doc_id", "text", "drop", "carry")
     return joined.mapInArrow(_kept(min_chars), with_carry("doc_id long, n_lines long, n_dropped long, kept binary", joined))
 
 
 def digest(kept: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the SHA-256 of the remaining text."""
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    """doc_id, n_lines, n_dropped and the SHA-256 of the remaining text, in partitions of even size: the rows are small."""
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")).hint("rebalance")
 
 
 def brute_force(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
