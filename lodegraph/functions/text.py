@@ -14,10 +14,9 @@ BLOOM_BITS, PROBES = 256, 2
 
 def tokens(text: Column) -> Column:
     """Distinct lower-case identifier parts of three bytes or more, split at non-alphanumerics and at lower-to-upper."""
-    parted = F.regexp_replace(text, r"(\p{Ll})(\p{Lu})", "$1 $2")
-    parts = F.split(parted, r"[^\p{L}\p{N}]+")
-    lowered = F.transform(F.filter(parts, lambda t: F.octet_length(t) >= 3), lambda t: F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    return F.array_distinct(F.coalesce(lowered, F.array().cast("array<string>")))
+    parted = F.translate(F.regexp_replace(text, r"(\p{Ll})(\p{Lu})", "$1 $2"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    parts = F.filter(F.split(parted, r"[^\p{L}\p{N}]+"), lambda t: F.octet_length(t) >= 3)
+    return F.array_distinct(F.coalesce(parts, F.array().cast("array<string>")))
 
 
 def hash_tokens(text: Column) -> Column:

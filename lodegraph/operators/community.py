@@ -39,8 +39,9 @@ def _sequential(sweeps: int):
         hubs: set[int] = set()
         part = degree[degree > 0]
         if n >= HUB_NODES and len(part):
-            over = [i for i in np.argsort(-degree, kind="stable").tolist() if degree[i] > part.mean() + HUB_DEVIATIONS * part.std()]
-            hubs = set(over[: int(HUB_SHARE * n)])
+            most = part.mean() + HUB_DEVIATIONS * part.std()
+            over = np.argsort(-degree, kind="stable")
+            hubs = set(over[degree[over] > most][: int(HUB_SHARE * n)].tolist())
         label = list(range(n))
         for _ in range(sweeps):
             changed = False

@@ -43,6 +43,6 @@ def kernel(edges: DataFrame, nodes: DataFrame, fn: Callable[[pd.DataFrame, pd.Da
         is_edge = pdf["dst"].notna()
         e = pdf[is_edge][["src", "dst"]].astype("int64").sort_values(["src", "dst"], ignore_index=True)
         n = pdf[~is_edge][["src"]].rename(columns={"src": "id"}).astype("int64").drop_duplicates().sort_values("id", ignore_index=True)
-        return fn(e, n)
+        return fn(e[e["src"].isin(n["id"]) & e["dst"].isin(n["id"])].reset_index(drop=True), n)  # edges among the nodes
 
     return tagged.groupBy("one").applyInPandas(run, schema)

@@ -121,7 +121,11 @@ class _Adjacency:
 
 
 def _brandes(adj: _Adjacency, source: int) -> np.ndarray:
-    """One source's dependencies; parallel edges are paths of their own."""
+    """One source's dependencies; parallel edges are paths of their own.
+
+    Only the shares of a node's shortest paths that come over each edge are kept, and the numbers
+    of paths are scaled level by level, so they cannot overflow.
+    """
     n = len(adj.ids)
     distance, paths = np.full(n, -1), np.zeros(n)
     distance[source], paths[source] = 0, 1
@@ -133,11 +137,13 @@ def _brandes(adj: _Adjacency, source: int) -> np.ndarray:
         down = distance[to] == len(levels) + 1
         a, b = at[who[down]], to[down]
         np.add.at(paths, b, paths[a])
-        levels.append((a, b))
+        levels.append((a, b, paths[a] / paths[b]))
+        if len(new):
+            paths[new] /= paths[new].max()
         at = new
     gain = np.zeros(n)
-    for a, b in reversed(levels):
-        np.add.at(gain, a, paths[a] / paths[b] * (1 + gain[b]))
+    for a, b, share in reversed(levels):
+        np.add.at(gain, a, share * (1 + gain[b]))
     gain[source] = 0
     return gain
 

@@ -51,8 +51,28 @@ def depth_filter(graph: Graph, target: int, depth: int) -> DataFrame:
     return bfs(s, graph.of(["Calls"]), depth).filter("depth > 0").select("id").filter(F.col("id") != target).distinct()
 
 
-def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _linked(edges: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+    """Smallest labels over edges and pointer jumps until nothing changes."""
+    ids = nodes["id"].to_numpy()
+    a, b = np.searchsorted(ids, edges["src"]), np.searchsorted(ids, edges["dst"])
+    label = np.arange(len(ids))
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (a, b):
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, label[end], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return pd.DataFrame({"id": ids, "component": ids[label]})
+
+
+def connected(nodes: DataFrame, edges: DataFrame, force_loop: bool = False) -> DataFrame:
     """(id, component): the smallest id that edges, in either direction, link to a node."""
+    if not force_loop and small(edges):
+        return kernel(edges, nodes, _linked, "id long, component long")
     state = cut(nodes.select("id", F.col("id").alias("component")).distinct(), "cc")
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "cc-edges")
     while True:

@@ -92,6 +92,13 @@ def components(spark, d):
     return reach.connected(g.nodes.select("id"), g.of())
 
 
+@query(f"with recursive n as ({P.P1_NODES_SQL}), {C(45)}, {_cc} select id, min(m) as component from w group by id")
+def components_loop(spark, d):
+    """The distributed rounds, whatever the size."""
+    g = P.p1(spark, d, 45)
+    return reach.connected(g.nodes.select("id"), g.of(), force_loop=True)
+
+
 @query(f"with recursive {N}, {C(45)}, {R}, {S} select id, scc from s")
 def scc(spark, d):
     g = P.p1(spark, d, 45)

@@ -65,7 +65,8 @@ def test_cycles_and_levels(spark):
     assert {r.id for r in reach.recursive(g).collect()} == {0, 1, 2, 3}
     with pytest.raises(ValueError):
         reach.levels(g)
-    assert {r.id: r.component for r in reach.connected(g.nodes.select("id"), g.of()).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
+    for loop in (False, True):
+        assert {r.id: r.component for r in reach.connected(g.nodes.select("id"), g.of(), force_loop=loop).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
 
 
 def test_pagerank_converges_and_leaves_structure_out(spark):
@@ -88,6 +89,9 @@ def test_bridge_has_the_most_betweenness(spark):
     some = {r.id: r.betweenness for r in ranking.betweenness(g, exact_nodes=3, pivot_count=17).collect()}
     assert some == pytest.approx(exact)
     assert len(set(ranking.pivots(1000, 64))) == 64
+    wide = make(spark, 700, [(i, i + 1) for i in range(699) for _ in range(4)])  # 4**699 paths from end to end
+    values = [r.betweenness for r in ranking.betweenness(wide, exact_nodes=10, pivot_count=3).collect()]
+    assert all(0 <= v < float("inf") for v in values) and max(values) > 0
 
 
 def test_harmonic_and_its_sketch(spark):
