@@ -43,8 +43,8 @@ SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}
 class WordTokenizer(dict):
     """Ids of a lower-casing word BPE, as little-endian unsigned 32-bit bytes, with a memo of words.
 
-    Latin-1 texts without markers of special tokens are split here, and each new word is
-    encoded once; all other texts go to the tokenizer whole. Both ways give equal ids. A
+    Latin-1 texts without markers of special tokens are split here, and each new word goes to
+    the tokenizer's model once; all other texts go to the tokenizer whole. Both ways give equal ids. A
     worker keeps one tokenizer for all its tasks.
     """
 
@@ -52,9 +52,14 @@ class WordTokenizer(dict):
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        #: A Latin-1 character's bytes as the model's characters.
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(256)}
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -68,7 +73,7 @@ class WordTokenizer(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMO:
             self.clear()
-        return self.setdefault(word, self.encoded(word))
+        return self.setdefault(word, np.array([t.id for t in self.model.tokenize(word.translate(self.letters))], "<u4").tobytes())
 
     def ids(self, text: str) -> bytes:
         if "<|" in text:
