@@ -102,7 +102,7 @@ def pivots(n: int, k: int) -> list[int]:
     return list(out)
 
 
-class _Adjacency:
+class Adjacency:
     """Out-neighbours in flat arrays, small enough to go to every task (checked by the callers)."""
 
     def __init__(self, edges: pd.DataFrame, ids: np.ndarray):
@@ -120,7 +120,7 @@ class _Adjacency:
         return np.repeat(np.arange(len(at)), size), self.to[first + within]
 
 
-def _brandes(adj: _Adjacency, source: int) -> np.ndarray:
+def _brandes(adj: Adjacency, source: int) -> np.ndarray:
     """One source's dependencies; parallel edges are paths of their own.
 
     Only the shares of a node's shortest paths that come over each edge are kept, and the numbers
@@ -148,7 +148,7 @@ def _brandes(adj: _Adjacency, source: int) -> np.ndarray:
     return gain
 
 
-def _farness(adj: _Adjacency, source: int) -> float:
+def _farness(adj: Adjacency, source: int) -> float:
     seen = np.zeros(len(adj.ids), bool)
     seen[source] = True
     at, total, d = np.array([source]), 0.0, 0
@@ -165,14 +165,14 @@ def _farness(adj: _Adjacency, source: int) -> float:
 BROADCAST_EDGES = 4_000_000
 
 
-def _shipped(graph: Graph, types: list[str]) -> tuple[_Adjacency, int]:
+def _shipped(graph: Graph, types: list[str]) -> tuple[Adjacency, int]:
     nodes = graph.nodes.select("id").distinct()
     edges = graph.of(types)
     if not small(edges, BROADCAST_EDGES) or not small(nodes, BROADCAST_EDGES):
         raise ValueError(f"more than {BROADCAST_EDGES} edges or nodes: take pivots with levels() instead")
     ids = np.sort(nodes.toPandas()["id"].to_numpy(dtype="int64"))
     e = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").toPandas().astype("int64")
-    return _Adjacency(e, ids), len(ids)
+    return Adjacency(e, ids), len(ids)
 
 
 def betweenness(graph: Graph, types: list[str] | None = None, exact_nodes: int = EXACT_NODES, pivot_count: int = PIVOTS) -> DataFrame:

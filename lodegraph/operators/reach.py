@@ -9,16 +9,47 @@ from pyspark.sql import functions as F
 
 from lodegraph.operators.iterate import cut, kernel, small
 from lodegraph.operators.model import Graph, prop
+from lodegraph.operators.ranking import Adjacency
 
 #: Where no depth is given.
 DEPTH = 10
 
 
-def bfs(starts: DataFrame, edges: DataFrame, depth: int | None = DEPTH, backward: bool = True) -> DataFrame:
+def _walked(starts: DataFrame, edges: DataFrame, depth: int | None, backward: bool) -> DataFrame:
+    """bfs() with the adjacency in every task, a seed at a time. Only behind small()."""
+    a, b = ("dst", "src") if backward else ("src", "dst")
+    e = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct().toPandas().astype("int64")  # KERNEL_EDGES at most
+    adj = starts.sparkSession.sparkContext.broadcast(Adjacency(e, np.unique(e.to_numpy())))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, seed = adj.value, pdf["seed"].iloc[0]
+        own = pdf["id"].drop_duplicates().to_numpy(dtype="int64")
+        at = np.searchsorted(g.ids, own)
+        known = at < len(g.ids)
+        known[known] = g.ids[at[known]] == own[known]
+        found = np.full(len(g.ids), -1)
+        at = at[known]
+        found[at] = 0
+        k = 0
+        while len(at) and (depth is None or k < depth):
+            k += 1
+            to = np.unique(g.level(at)[1])
+            at = to[found[to] < 0]
+            found[at] = k
+        hit = np.flatnonzero(found >= 0)
+        ids, far = np.concatenate([g.ids[hit], own[~known]]), np.concatenate([found[hit], np.zeros((~known).sum(), int)])
+        return pd.DataFrame({"seed": np.full(len(ids), seed), "id": ids, "depth": far})
+
+    return starts.select(F.col("seed").cast("long").alias("seed"), "id").groupBy("seed").applyInPandas(run, "seed long, id long, depth int")
+
+
+def bfs(starts: DataFrame, edges: DataFrame, depth: int | None = DEPTH, backward: bool = True, force_loop: bool = False) -> DataFrame:
     """(seed, id, depth) of all nodes within depth steps of the seeds, which have depth 0.
 
     starts has (seed, id); backward follows edges from dst to src. None: until nothing is new.
     """
+    if not force_loop and small(edges) and small(starts):
+        return _walked(starts, edges, depth, backward)
     a, b = ("dst", "src") if backward else ("src", "dst")
     step = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
     seen = cut(starts.select("seed", "id", F.lit(0).alias("depth")).distinct(), "bfs")

@@ -47,6 +47,9 @@ def test_strong_components_and_impact(spark, seed):
     blast = {r.id: r for r in reach.blast_scc(g).collect()}
     walk = {r.id: r.impact_zone for r in reach.blast_bfs(g, g.nodes.select("id"), depth=None).collect()}
     assert {v: blast[v].impact_zone for v in range(n)} == {v: len(back[v]) - 1 for v in range(n)} == walk
+    starts = g.nodes.filter("id % 3 = 0").selectExpr("id % 2 as seed", "id").unionAll(spark.createDataFrame([(7, 10_000)], "seed long, id long"))
+    both = [{tuple(r) for r in reach.bfs(starts, g.of(), d, backward=b, force_loop=loop).collect()} for d, b in ((2, True), (None, False)) for loop in (False, True)]
+    assert both[0] == both[1] and both[2] == both[3]
     assert {v: blast[v].direct_callers for v in range(n)} == {v: sum(b == v for _, b in pairs) for v in range(n)}
 
 
