@@ -88,7 +88,7 @@ _dsl("dsl_shortcut", "functions", "node_type = 'Function'")
 _dsl("dsl_name", "name:part_5", "name = 'part_5'")
 _dsl("dsl_bare_name", "part_6", "name = 'part_6'")
 _dsl("dsl_label", "label:Brand#13", "brand = 'Brand#13'")
-_dsl("dsl_repo", "repo:STEEL", "repo = 'STEEL'")
+_dsl("dsl_repo", "repo:PROMO", "repo = 'PROMO'")
 _dsl("dsl_suffix", "name_suffix:77", "ends_with(name, '77')")
 _dsl("dsl_signature", "signature:fn part_1*Brand#2*", "signature like 'fn part\\_1%Brand#2%' escape '\\'")
 _dsl("dsl_signature_contains", "signature:(x: ECONOMY)", "contains(signature, '(x: ECONOMY)')")

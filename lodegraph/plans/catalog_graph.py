@@ -358,11 +358,11 @@ def rules_report(spark, d):
     return policy.apply_rules(P.p1(spark, d, 42), RULESET, dry_run=True)
 
 
-@query(f"with recursive e as ({P.P2_EDGES_SQL}), n as ({P.P2_NODES_SQL}), b as (select src, dst from e where edge_type in ('Contains', 'Uses') union select dst, src from e where edge_type in ('Contains', 'Uses')), w(id, d) as (select id, 0 from n where name = 'ALGERIA' union select b.dst, d + 1 from w join b on b.src = w.id where d < 2), k as (select distinct id from w) select src, dst, edge_type from e where src in (select id from k) and dst in (select id from k)")
+@query(f"with recursive e as ({P.P2_EDGES_SQL}), n as ({P.P2_NODES_SQL}), b as (select src, dst from e where edge_type in ('Contains', 'Uses') union select dst, src from e where edge_type in ('Contains', 'Uses')), w(id, d) as (select id, 0 from n where name = 'NATION_3' union select b.dst, d + 1 from w join b on b.src = w.id where d < 2), k as (select distinct id from w) select src, dst, edge_type from e where src in (select id from k) and dst in (select id from k)")
 def subgraph_export(spark, d):
     from lodegraph.sources import exports
 
-    g = exports.subgraph(P.p2(spark, d), "name:ALGERIA", 2)
+    g = exports.subgraph(P.p2(spark, d), "name:NATION_3", 2)
     return g.edges.select("src", "dst", "edge_type")
 
 
