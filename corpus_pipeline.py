@@ -45,14 +45,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id."""
-    groups = ngram_join.near_groups(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(groups, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti").dropDuplicates(["doc_id"]) if _repeats(docs) else docs.join(groups, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether a doc_id stands in several rows."""
-    return bool(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count())
+    """One row of each group of near copies stays, that of the smallest doc_id; rows count by themselves, whatever their doc_id."""
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("key"), F.expr(_carry(docs)).alias("carry")), "keyed")
+    groups = ngram_join.near_groups(keyed.select("key", F.col("carry.text").alias("text")), id_col="key").select(F.col("doc_id").alias("key"), "class_id")
+    groups = stored(groups.join(keyed.select("key", F.col("carry.doc_id").cast("long").alias("doc_id")), "key"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    kept = groups.groupBy("class_id").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1").select("class_id", F.col("first.key").alias("kept"))
+    gone = groups.join(kept, "class_id").filter("key <> kept").select("key")
+    return _back(keyed.join(gone, "key", "left_anti"), docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

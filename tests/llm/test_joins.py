@@ -157,3 +157,14 @@ def test_pipeline_with_awkward_rows(spark, docs, no_docs, tmp_path):
             frame = out
         corpus_pipeline.STAGES[-1][1](spark, frame, sf).count()
     assert texts(no_docs).count() == 0 and licenses.TEMPLATES
+
+
+def test_near_duplicates_counts_rows_and_not_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(20))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b")), (3, text("c")), (3, text("d")), (None, text("e")), (None, text("f")), (None, text("a")), (4, text("c")), (4, text("g")), (None, None), (None, None)]
+    want = sorted([(1, text("a")), (1, text("b")), (3, text("c")), (3, text("d")), (None, text("e")), (None, text("f")), (4, text("g")), (None, None), (None, None)], key=str)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = corpus_pipeline.near_duplicates(spark, frame, "")
+    assert sorted(map(tuple, out.collect()), key=str) == want and out.columns == frame.columns
+    unique = spark.createDataFrame([(1, text("a")), (None, text("a")), (None, text("b"))], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, unique, "").collect()), key=str) == sorted([(1, text("a")), (None, text("b"))], key=str)
