@@ -6,6 +6,13 @@ number of bigrams lies between t / (2 - t) and (2 - t) / t of the template's; te
 sorted by size, so the candidates of a unit are one slice. Units outside every slice are never
 cut into bigrams. For what remains, an index from bigrams to templates counts the shared ones.
 
+Beside the units stand windows over the word sequence of the whole text, so that a template is
+found inside a line and across paragraphs. The best windows begin and end at a bigram of the
+template, hold at least t / (2 - t) of its bigrams and have a size within the same bounds, so
+only such windows are compared. Of overlapping windows of a license the one of the highest
+coefficient is a match (then the first, then the longest), unless a unit that overlaps it has
+the same license with the same coefficient or a higher one.
+
 Defined cases: a null or empty text has no match; a template that matches a line and the
 paragraph of just that line counts once; among equal coefficients the first name by alphabet
 is the best; rows that repeat are each scanned; a null doc_id stays null; an empty table gives
@@ -75,6 +82,7 @@ class Templates:
         made = sorted(((len(words(t)) - 1, name, bigrams(words(t))) for name, texts in templates.items() for t in texts), key=lambda x: x[:2])
         self.sizes = [m[0] for m in made]
         self.names = [m[1] for m in made]
+        self.grams = [m[2] for m in made]
         self.index: dict[tuple[str, str], list[tuple[int, int]]] = {}
         for k, (_, _, grams) in enumerate(made):
             for g, n in grams.items():
@@ -124,8 +132,62 @@ def units(text: str) -> Iterator[tuple[int, int]]:
         yield 0, len(text)
 
 
+def _places(text: str) -> list[tuple[int, int]]:
+    """Start and end of each word of words(text), in the text itself."""
+    low = text.lower()
+    if len(low) == len(text):
+        return [m.span() for m in WORD.finditer(low)]
+    at = [i for i, c in enumerate(text) for _ in c.lower()]  # some letters are two in lower case
+    return [(at[m.start()], at[m.end() - 1] + 1) for m in WORD.finditer(low)]
+
+
+def _chosen(text: str, found: dict[str, list[tuple[float, int, int]]], of_units: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """The windows (coefficient, first and last bigram) that are matches, by license, as places in the text."""
+    out = []
+    places = _places(text) if found else []
+    for name, windows in found.items():
+        taken: list[tuple[int, int]] = []
+        for dice, i, j in sorted(windows, key=lambda w: (-w[0], w[1], -w[2])):
+            start, end = places[i][0], places[j + 1][1]
+            if any(start < b and a < end for a, b in taken):
+                continue
+            taken.append((start, end))
+            if not any(start < b and a < end and d >= dice - 1e-9 for a, b, n, d in of_units if n == name):
+                out.append((start, end, name, dice))
+    return out
+
+
+def windows(tokens: list[str], templates: Templates) -> dict[str, list[tuple[float, int, int]]]:
+    """For each license, the windows that reach the threshold: coefficient, first and last bigram."""
+    pairs = list(zip(tokens, tokens[1:], strict=False))
+    at: dict[int, list[int]] = {}
+    for p, g in enumerate(pairs):
+        for k, _ in templates.index.get(g, ()):
+            at.setdefault(k, []).append(p)
+    out: dict[str, list[tuple[float, int, int]]] = {}
+    for k, where in at.items():
+        size, own = templates.sizes[k], templates.grams[k]
+        least, most = size * templates.ratio - 1e-9, size / templates.ratio + 1e-9
+        last = 0
+        for first, i in enumerate(where):
+            while last < len(where) and where[last] - i + 1 <= most:
+                last += 1
+            if last - first < least:
+                continue
+            seen: dict[tuple[str, str], int] = {}
+            shared = 0
+            for j in where[first:last]:
+                g = pairs[j]
+                n = seen[g] = seen.get(g, 0) + 1
+                shared += n <= own[g]
+                dice = 2 * shared / (j - i + 1 + size)
+                if dice >= templates.threshold:
+                    out.setdefault(templates.names[k], []).append((dice, i, j))
+    return out
+
+
 def matches(text: str, templates: Templates) -> list[tuple[int, int, str, float]]:
-    """(start, end, license, coefficient) of all units that match."""
+    """(start, end, license, coefficient) of all units and windows that match."""
     out = []
     for start, end in units(text):
         # a word takes two characters at least with what parts it; most units are too short or too long
@@ -134,7 +196,7 @@ def matches(text: str, templates: Templates) -> list[tuple[int, int, str, float]
         tokens = words(text[start:end])
         if templates.least - 1e-9 <= len(tokens) - 1 <= templates.most + 1e-9:
             out += [(start, end, name, dice) for name, dice in templates.best(tokens).items()]
-    return sorted(out)
+    return sorted(out + _chosen(text, windows(words(text), templates), out))
 
 
 def _scanned(threshold: float):
@@ -160,7 +222,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
 
 def brute_force(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, float]]:
-    """All units against all templates without bounds, for tests."""
+    """All units against all templates without bounds, and all windows from every word on, for tests."""
     out = []
     for start, end in units(text):
         best: dict[str, float] = {}
@@ -173,4 +235,17 @@ def brute_force(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int,
                 if dice >= threshold:
                     best[name] = max(dice, best.get(name, 0))
         out += [(start, end, name, d) for name, d in best.items()]
-    return sorted(out)
+    tokens = words(text)
+    pairs = list(zip(tokens, tokens[1:], strict=False))
+    found: dict[str, list[tuple[float, int, int]]] = {}
+    for name, texts in TEMPLATES.items():
+        for other in map(bigrams, map(words, texts)):
+            size = sum(other.values())
+            for i in range(len(pairs)):
+                left, shared = Counter(other), 0
+                for j in range(i, min(len(pairs), i + int(size * (2 - threshold) / threshold) + 2)):
+                    shared += left[pairs[j]] > 0
+                    left[pairs[j]] -= 1
+                    if 2 * shared / (j - i + 1 + size) >= threshold:
+                        found.setdefault(name, []).append((2 * shared / (j - i + 1 + size), i, j))
+    return sorted(out + _chosen(text, found, out))

@@ -262,3 +262,15 @@ def test_license_of_every_template():
 
 def test_licenses_no_rows(no_docs):
     assert licenses.scan(no_docs).count() == 0
+
+
+def test_license_inside_lines_and_across_paragraphs():
+    t = licenses.Templates()
+    apache, bsd = licenses.TEMPLATES["Apache-2.0"][1], licenses.TEMPLATES["BSD-2-Clause"][1]
+    mit = "İ Some prose before it here. Licensed under the MIT License. And some after it, which goes on."
+    samples = {mit: "MIT", "x\n\n" + apache.replace(" You may", "\n\nYou may").replace(" Unless", "\n\nUnless") + "\n\n" + "other words follow here " * 60: "Apache-2.0", "y " * 300 + bsd.replace(" Redistributions", "\n\nRedistributions") + " z" * 300: "BSD-2-Clause"}
+    for text, name in samples.items():
+        got = licenses.matches(text, t)
+        assert (name, 1.0) in {(m[2], m[3]) for m in got} and got == licenses.brute_force(text)
+    start, end = licenses.matches(mit, t)[0][:2]
+    assert mit[start:end] == "Licensed under the MIT License"
