@@ -11,7 +11,8 @@ found inside a line and across paragraphs. The best windows begin and end at a b
 template, hold at least t / (2 - t) of its bigrams and have a size within the same bounds, so
 only such windows are compared. Of overlapping windows of a license the one of the highest
 coefficient is a match (then the first, then the longest), unless a unit that overlaps it has
-the same license with the same coefficient or a higher one.
+the same license with the same coefficient or a higher one. A match of which most lies in a match
+of a license whose template contains its own (BSD-2-Clause in BSD-3-Clause) is a part of that one.
 
 Defined cases: a null or empty text has no match; a template that matches a line and the
 paragraph of just that line counts once; among equal coefficients the first name by alphabet
@@ -37,6 +38,7 @@ WORD = re.compile(r"[a-z0-9]+")
 
 # Public notices and license texts, by name.
 TEMPLATES = {
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
@@ -45,16 +47,24 @@ TEMPLATES = {
         "Licensed under the BSD 2-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     ],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License."],
+    "BSD-3-Clause": [
+        "Licensed under the BSD 3-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
@@ -74,6 +84,18 @@ def bigrams(tokens: list[str]) -> Counter:
     return Counter(zip(tokens, tokens[1:], strict=False))
 
 
+def _contained() -> dict[tuple[str, str], float]:
+    """(a, b) where a template of license a is a part of one of b: the coefficient from which on a text is b rather than a.
+
+    It lies half-way between the coefficients with b's template of the part alone and of the whole.
+    """
+    made = [(name, bigrams(words(t))) for name, texts in TEMPLATES.items() for t in texts]
+    return {(a, b): 0.5 + x.total() / (x.total() + y.total()) for a, x in made for b, y in made if a != b and x <= y}
+
+
+CONTAINED = _contained()
+
+
 class Templates:
     """Templates sorted by number of bigrams, with an index of their bigrams."""
 
@@ -142,7 +164,7 @@ def _places(text: str) -> list[tuple[int, int]]:
 
 
 def _chosen(text: str, found: dict[str, list[tuple[float, int, int]]], of_units: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
-    """The windows (coefficient, first and last bigram) that are matches, by license, as places in the text."""
+    """The matches of units and those of the windows (coefficient, first and last bigram, by license), as places in the text."""
     out = []
     places = _places(text) if found else []
     for name, windows in found.items():
@@ -154,7 +176,9 @@ def _chosen(text: str, found: dict[str, list[tuple[float, int, int]]], of_units:
             taken.append((start, end))
             if not any(start < b and a < end and d >= dice - 1e-9 for a, b, n, d in of_units if n == name):
                 out.append((start, end, name, dice))
-    return out
+    out += of_units
+    part = lambda m, o: (m[2], o[2]) in CONTAINED and o[3] >= CONTAINED[m[2], o[2]] and 2 * (min(m[1], o[1]) - max(m[0], o[0])) > m[1] - m[0]
+    return sorted(m for m in out if not any(part(m, o) for o in out))
 
 
 def windows(tokens: list[str], templates: Templates) -> dict[str, list[tuple[float, int, int]]]:
@@ -196,7 +220,7 @@ def matches(text: str, templates: Templates) -> list[tuple[int, int, str, float]
         tokens = words(text[start:end])
         if templates.least - 1e-9 <= len(tokens) - 1 <= templates.most + 1e-9:
             out += [(start, end, name, dice) for name, dice in templates.best(tokens).items()]
-    return sorted(out + _chosen(text, windows(words(text), templates), out))
+    return _chosen(text, windows(words(text), templates), out)
 
 
 def _scanned(threshold: float):
@@ -248,4 +272,4 @@ def brute_force(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int,
                     left[pairs[j]] -= 1
                     if 2 * shared / (j - i + 1 + size) >= threshold:
                         found.setdefault(name, []).append((2 * shared / (j - i + 1 + size), i, j))
-    return sorted(out + _chosen(text, found, out))
+    return _chosen(text, found, out)

@@ -274,3 +274,18 @@ def test_license_inside_lines_and_across_paragraphs():
         assert (name, 1.0) in {(m[2], m[3]) for m in got} and got == licenses.brute_force(text)
     start, end = licenses.matches(mit, t)[0][:2]
     assert mit[start:end] == "Licensed under the MIT License"
+
+
+def test_license_of_close_relatives():
+    t = licenses.Templates()
+    gnu = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    third = "Neither the name of Example Corp. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    two = licenses.TEMPLATES["BSD-2-Clause"][1]
+    samples = {
+        gnu.format("program", ";", "", ";", "2"): "GPL-2.0", gnu.format("program", ":", "", ",", "3"): "GPL-3.0", gnu.format("program", ":", "Affero ", ",", "3"): "AGPL-3.0",
+        gnu.format("library", ";", "Lesser ", ";", "2.1"): "LGPL-2.1", gnu.format("library", ":", "Lesser ", ",", "3"): "LGPL-3.0", two: "BSD-2-Clause", two + "\n\n" + third: "BSD-3-Clause",
+    }
+    for text, name in samples.items():
+        for around in (text, "Copyright (c) 2020 Example.\n\n" + text + "\n\nTHIS SOFTWARE IS PROVIDED AS IS. " + "more words " * 50):
+            found = licenses.matches(around, t)
+            assert min((-m[3], m[2]) for m in found)[1] == name
