@@ -216,7 +216,7 @@ def betweenness(spark, d):
 
 @query()
 def betweenness_sampled(spark, d):
-    return ranking.betweenness(P.p1(spark, d, 45), exact_nodes=100, pivot_count=64)
+    return ranking.betweenness(P.p1(spark, d, 45))
 
 
 @query()

@@ -11,7 +11,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lodegraph.plans import catalog
+from lodegraph.operators import ranking
+from lodegraph.plans import catalog, projections
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SMALL = "/root/testdata/sf0.001"
@@ -70,3 +71,10 @@ def test_without_the_training_data_folder(tmp_path):
 def test_the_rest_imports_nothing_of_it():
     for p in (REPO / "lodegraph").rglob("*.py"):
         assert "llm" in p.parts or "lodegraph.llm" not in p.read_text(), p
+
+
+def test_sampled_betweenness_has_the_operators_pivots(spark):
+    """The smallest graph lies below EXACT_NODES, so the result is the exact one; 64 pivots differ from it."""
+    whole = ranking.betweenness(projections.p1(spark, SMALL, 45), exact_nodes=10**9)
+    rows = lambda df: sorted(tuple(_plain(v) for v in r) for r in df.collect())
+    assert rows(catalog.QUERIES["betweenness_sampled"](spark, SMALL)) == rows(whole)
