@@ -11,12 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 REPO = str(Path(__file__).resolve().parents[2])
-#: Rows in an Arrow batch: bounds a Python worker's memory when texts are long.
-BATCH_ROWS = 512
+#: Rows and bytes in an Arrow batch: bound a Python worker's memory when texts are many or long.
+BATCH_ROWS, BATCH_BYTES = 512, 1 << 24
+#: Folders of the tables that this process has written, for sweep().
+WRITTEN: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let workers import this package, keep Arrow batches small, and have workers return freed memory."""
+    """Let workers import this package, keep Arrow batches small, and have workers return freed memory.
+
+    These are settings of the whole session and stay: a batch of BATCH_ROWS rows or BATCH_BYTES
+    bytes is a safe size for other operators too, and Spark reads them only when a plan is run,
+    so they cannot be put back when a lazy DataFrame is returned.
+    """
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if REPO not in have.split(":"):
@@ -25,28 +32,60 @@ def prepare(spark: SparkSession) -> None:
     env.setdefault("MALLOC_ARENA_MAX", "2")
     env.setdefault("MALLOC_TRIM_THRESHOLD_", "131072")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share.
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
 
-    It lies under spark.checkpoint.dir. Only where that is unset (tests on one machine)
-    is a temporary folder made and set as the checkpoint folder.
+    Only on one machine (a local master) may both be unset: a temporary folder is made then.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(shared_dir, "base", None) or "file://" + tempfile.mkdtemp(prefix="lodegraph-")
-        shared_dir.base = base
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not hasattr(shared_base, "own"):
+        shared_base.own = "file://" + tempfile.mkdtemp(prefix="lodegraph-")
+    return shared_base.own
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """The name of a new folder that driver and executors share."""
+    path = f"{shared_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    WRITTEN.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it back."""
+    """Cut lineage: write df as Parquet in the shared folder and read it back. drop() removes it."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stored tables that no later plan reads: those of earlier rounds, once a newer one is written."""
+    for table in tables:
+        _delete(table.sparkSession, table.stored_path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables and bundles that this process has written. Call it when all results are consumed."""
+    for path in list(WRITTEN):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in WRITTEN:
+        WRITTEN.remove(path)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,17 +4,22 @@ Planning (on the driver, over the rules alone): each rule's regular expression i
 turned into a Boolean trigram query, an OR of ANDs of three-letter strings that every match
 must hold, in lower case. A rule whose expression has no such strings scans every text.
 
-Execution: one pass over the documents writes postings (trigram, document) for the trigrams
-of the queries. Postings are intersected by counting, for each document and AND-clause, the
-distinct trigrams; complete clauses make candidates. Candidates join the documents and the
-rule's expression verifies them on the whole text. Rules that scan fully need no candidates.
+Execution: one pass over the documents makes postings (trigram, document) for the trigrams
+of the queries; others are not indexed, as no query asks for them. Postings are intersected by
+counting, for each document and AND-clause, the distinct trigrams; complete clauses make
+candidates, which are written to the shared folder. A second pass joins them to the documents
+and the rule's expression verifies them on the whole text: up to ``BROADCAST_ROWS`` measured
+candidates go to the texts, more meet them in a shuffle. Rules that scan fully (hex) need no
+candidates and run in that same pass.
 
 Places: text between matches comes from split(), so a match starts after all earlier gaps and
-matches; lengths are code points.
+matches. Starts are prefix sums by doubling strides, so a text of n matches takes n log n steps.
 
-Defined cases: a null or empty text has no spans; rows that share a doc_id are each scanned (a
-candidate of one is a candidate of all); a null doc_id is a key like any other; an empty table
-gives no rows. Columns other than the two named ones are ignored.
+Defined cases: a null or empty text has no spans; a very long text is scanned whole, in one row;
+spans that start together are in order of their kinds, and equal ones of several kinds all stay;
+rows that share a doc_id are each scanned (a candidate of one is a candidate of all); a null
+doc_id is a key like any other; an empty table gives no rows. Columns other than the two named
+ones are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.llm.common import stored
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -59,6 +66,8 @@ RULES = BASE + MORE
 
 #: An exact set of strings larger than this is given up; so is a longer string of it.
 MAX_STRINGS, MAX_LENGTH = 24, 24
+#: Candidates (an id and a few kinds each, some 10 MB in all) that may go to every executor.
+BROADCAST_ROWS = 100_000
 
 Query = frozenset[frozenset[str]]  # OR of ANDs; the empty AND is true
 ANY: Query = frozenset([frozenset()])
@@ -168,35 +177,55 @@ def _dense(rule: Rule) -> str:
     return f"{start}{head}{klass}{{{rule.least - width},}}+"
 
 
-PLACES = "array<struct<start:int,rank:int,end:int>>"
+def running(values: Column, combine) -> Column:
+    """Inclusive prefix combinations of an array by doubling strides: n log n steps, no growing state."""
+    strides = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda d: d < F.size(values))
+    return F.aggregate(strides, values, lambda have, d: F.transform(have, lambda x, i: F.when(i >= d, combine(x, F.get(have, i - d))).otherwise(x)))
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often use needs it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def places(found: Column, gaps: Column, rule: Rule, rank: int) -> Column:
-    """(start, rank, end) of each match that is long enough, from the matches and the gaps before them."""
-    none = F.array().cast(PLACES)
+def places(found: Column, gaps: Column, rule: Rule, rank: int, octets: bool = False) -> Column:
+    """(start, rank, end) of each match that is long enough, from the matches and the gaps before them, in code points.
+
+    octets: also (first, last), the same place in bytes.
+    """
+    none = F.array().cast("array<struct<start:int,rank:int,end:int" + (",first:int,last:int>>" if octets else ">>"))
 
-    def step(state, x):
-        start = state["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        size = F.length(F.regexp_extract(x["m"], rule.regex, rule.group)) if rule.group else F.length(x["m"])
-        hit = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.when(size >= rule.least, hit).otherwise(none)).alias("out"))
+    def starts(length) -> Column:
+        before = F.transform(found, lambda x, i: length(F.get(gaps, i)) + F.when(i > 0, length(F.get(found, i - 1))).otherwise(0))
+        return running(before, lambda a, b: a + b)
 
-    pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])).otherwise(none)
+    def made(points: Column, at: Column | None) -> Column:
+        def one(x, i) -> Column:
+            fields = [F.get(points, i).alias("start"), F.lit(rank).alias("rank"), (F.get(points, i) + F.length(x)).alias("end")]
+            if octets:
+                fields += [F.get(at, i).alias("first"), (F.get(at, i) + F.octet_length(x)).alias("last")]
+            size = F.length(F.regexp_extract(x, rule.regex, rule.group)) if rule.group else F.length(x)
+            return F.when(size >= rule.least, F.struct(*fields))
+
+        return F.filter(F.transform(found, one), lambda s: s.isNotNull())
+
+    kept = let(starts(F.length), lambda points: let(starts(F.octet_length), lambda at: made(points, at)) if octets else made(points, None))
+    return F.when(F.size(found) > 0, kept).otherwise(none)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """doc_id and spans, an array of (start, rank, end) in order; rank is the rule's place in rules.
 
-    carry is an SQL expression whose value travels along.
+    carry is an SQL expression whose value travels along, with the text; spans have first and last then (see places).
     """
     queries = {r.kind: trigram_query(r) for r in rules}
     indexed = {k: q for k, q in queries.items() if q != ANY}
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([F.expr(carry).alias("carry")] if carry else []))
     if indexed:
         trigrams = sorted({t for q in indexed.values() for clause in q for t in clause})
-        chosen = candidates(postings(base, trigrams), indexed).select(F.col("doc_id").alias("candidate"), "kinds")
+        chosen = stored(candidates(postings(base, trigrams), indexed), "candidates").select(F.col("doc_id").alias("candidate"), "kinds")
+        if chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # measured: the texts stay where they are
+            chosen = F.broadcast(chosen)
         base = base.join(chosen, F.col("doc_id").eqNullSafe(F.col("candidate")), "left").drop("candidate")
     else:
         base = base.withColumn("kinds", F.array().cast("array<string>"))
@@ -206,7 +235,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
         base = base.withColumn(f"m{n}", run if queries[r.kind] == ANY else F.when(F.array_contains("kinds", r.kind), run))
     for n, r in enumerate(rules):
         base = base.withColumn(f"g{n}", F.when(F.size(f"m{n}") > 0, F.split(text, _dense(r), -1)))
-    all_spans = [places(F.col(f"m{n}"), F.col(f"g{n}"), r, n) for n, r in enumerate(rules)]
+    all_spans = [places(F.col(f"m{n}"), F.col(f"g{n}"), r, n, bool(carry)) for n, r in enumerate(rules)]
     return base.select("doc_id", F.array_sort(F.concat(*all_spans)).alias("spans"), *(["text", "carry"] if carry else []))
 
 
@@ -227,13 +256,20 @@ def digest(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redacted(mark: str = "[SECRET]") -> Column:
-    """The text of a scan with carry, its spans replaced; overlapping spans merge into one."""
+    """The text of a scan with carry, its spans replaced; overlapping spans merge into one.
+
+    The text is cut by byte places, which takes no walk from its start for each span.
+    """
+    spans = F.col("spans")
 
-    def step(state, s):
-        gap = F.concat(F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.when(s["start"] >= state["at"], gap).otherwise(F.lit(""))).alias("out"))
+    def joined(data: Column, ends: Column) -> Column:
+        cuts = F.transform(spans, lambda s, i: F.struct(F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("at"), s["first"].alias("upto")))
+        gaps = F.transform(F.filter(cuts, lambda c: c["upto"] >= c["at"]), lambda c: F.substring(data, c["at"] + 1, c["upto"] - c["at"]).cast("string"))
+        tail = F.substring(data, F.element_at(ends, -1) + 1, F.octet_length(data)).cast("string")
+        return F.array_join(F.concat(gaps, F.array(tail)), mark)
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    ends = running(F.transform(spans, lambda s: s["last"]), F.greatest)
+    done = let(F.col("text").cast("binary"), lambda data: let(ends, lambda e: joined(data, e)))
     return F.when(F.size("spans") > 0, done).otherwise(F.col("text"))
 
 

@@ -289,3 +289,26 @@ def test_license_of_close_relatives():
         for around in (text, "Copyright (c) 2020 Example.\n\n" + text + "\n\nTHIS SOFTWARE IS PROVIDED AS IS. " + "more words " * 50):
             found = licenses.matches(around, t)
             assert min((-m[3], m[2]) for m in found)[1] == name
+
+
+# Very long texts
+
+
+def test_secrets_of_a_text_with_many_matches(spark):
+    """Places and redaction grow with the matches and not with their square."""
+    text = "é " + "\n".join(f"{i % 7}deadbeef{i:032x} x token={i:08d}" for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = secrets.scan(df, carry="doc_id").select("spans", secrets.redacted().alias("clean")).first()
+    want = secrets.brute_force(text)
+    assert [(s.start, s.rank, s.end) for s in row.spans] == want and len(want) == 40_000
+    out, at = [], 0
+    for a, _, b in want:
+        out.append(text[at:a])
+        at = b
+    assert row.clean == "[SECRET]".join([*out, text[at:]])
+
+
+def test_candidates_too_many_to_broadcast(docs, rows, monkeypatch):
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0)
+    plan = secrets.scan(docs)
+    assert sorted((str(r.doc_id), len(r.spans)) for r in plan.collect()) == sorted((str(r[0]), len(secrets.brute_force(r[1]))) for r in rows)
