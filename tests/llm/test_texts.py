@@ -144,13 +144,24 @@ def test_line_dedup_equals_brute_force(docs, rows):
     assert got == bag(line_dedup.brute_force([(r[0], r[1]) for r in rows]))
 
 
-def test_full_filter_changes_nothing(docs, rows, monkeypatch):
-    monkeypatch.setattr(line_dedup, "MAX_FILTER_BITS", line_dedup.SHARD_BITS)
-    monkeypatch.setattr(line_dedup, "FLUSH", 8)
-    got = bag(line_dedup.digest(line_dedup.dedup_lines(docs)).collect())
+@pytest.mark.parametrize("bits", [16, 0.01])
+def test_small_batches_and_full_filters_change_nothing(docs, rows, monkeypatch, bits):
+    monkeypatch.setattr(line_dedup, "BITS_PER_KEY", bits)  # at 0.01 every line is a suspect
+    got = bag(line_dedup.digest(line_dedup.dedup_lines(docs, flush=8, range_keys=5)).collect())
     assert got == bag(line_dedup.brute_force([(r[0], r[1]) for r in rows]))
 
 
+def test_share_of_suspects_does_not_grow(spark):
+    """At a fixed size of a range, ten times the lines make ten times the ranges and no more false suspects each."""
+    shares = []
+    for n in (2_000, 20_000):
+        df = spark.range(n).selectExpr("id as doc_id", "encode(concat_ws('\n', concat('the line number ', id), concat('another line of ', id), 'one that all documents share'), 'utf-8') as text").repartition(4)
+        found = line_dedup.suspects(df, flush=4_000, range_keys=1_000)
+        shares.append(found.groupBy("digest").count().filter("count = 1").count() / (2 * n))
+        assert found.groupBy("digest").count().filter("count > 1").count() == 1
+    assert max(shares) < 0.05 and shares[1] < 2 * shares[0] + 0.01
+
+
 def test_line_dedup_no_rows(no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
