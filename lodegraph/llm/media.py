@@ -235,7 +235,7 @@ def copies(media: DataFrame) -> DataFrame:
     prepare(media.sparkSession)
     described = stored(media.select("media_id", "pixels", "width").mapInArrow(_described, "media_id long, cls binary, points binary, words array<long>"), "described")
     classes = stored(described.filter("cls is not null").groupBy("cls").agg(F.min("media_id").alias("rep"), F.first("points").alias("points"), F.first("words").alias("words")), "images")
-    entries = classes.select("cls", F.posexplode("words").alias("at", "node")).select("cls", F.pmod("at", F.lit(TABLES)).alias("tree"), "node").distinct()
+    entries = classes.select("cls", F.posexplode("words").alias("at", "node")).select("cls", F.pmod("at", F.lit(TABLES)).alias("tree"), "node").distinct().withColumn("weight", F.lit(1))
     dealt = shared_nodes(entries, BLOCK)
     rows = dealt.join(classes.select("cls", "points", "words"), "cls").select("tree", "node", "i", "j", "cls", "side", "points", "words")
     keys = ["tree", "node", "i", "j"]

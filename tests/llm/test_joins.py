@@ -31,10 +31,64 @@ def test_large_group_of_near_copies_in_blocks(spark, block):
     assert got == sorted(ngram_join.brute_force(made))
 
 
-def test_prefix_shortens_until_the_recall():
-    d = ngram_join.depth_for()
-    chance = lambda k: 1 - (1 - ngram_join.THRESHOLD**k) ** ngram_join.TREES
-    assert chance(d) >= ngram_join.RECALL > chance(d + 1)
+def test_prefixes_shorten_until_the_recall_and_no_further():
+    rng = np.random.default_rng(3)
+    miss = ngram_join.misses()
+    target = np.log1p(-ngram_join.RECALL)
+    for k in range(40):
+        crowds = np.sort(rng.integers(1, 10 ** rng.integers(1, 5), (ngram_join.TREES, 5)), axis=1)[:, ::-1]
+        crowds = crowds if k else np.ones_like(crowds)
+        chosen = ngram_join.lengths(crowds)
+        total = miss[chosen - 1].sum()
+        assert total <= target + 1e-9 and chosen.min() >= ngram_join.ROOT
+        # the last step was needed
+        assert any(total - miss[d - 1] + miss[d] > target for d in chosen if d < ngram_join.DEEPEST)
+    crowded = np.ones((ngram_join.TREES, 5), int)
+    crowded[:8] = 5000, 3000, 1000, 500, 300
+    chosen = ngram_join.lengths(crowded)
+    assert chosen[:8].min() > chosen[8:].max()  # boilerplate: long prefixes where it is crowded
+
+
+def test_labels_under_nodes():
+    rng = np.random.default_rng(4)
+    root = np.sort(rng.integers(0, 6, 400))
+    tail = rng.integers(0, 3, 400).astype(np.int64) << 48 | rng.integers(0, 2, 400).astype(np.int64) << 32 | rng.integers(0, 2, 400).astype(np.int64) << 6
+    order = np.lexsort((tail, root))
+    root, tail = root[order], tail[order]
+    got = ngram_join.crowds_of(root, tail)
+    for d in range(ngram_join.ROOT, ngram_join.DEEPEST + 1):
+        prefix = [(r, int(t) >> ngram_join.BELOW[d] if d > ngram_join.ROOT else 0) for r, t in zip(root, tail, strict=True)]
+        assert got[:, d - ngram_join.ROOT].tolist() == [prefix.count(p) for p in prefix]
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 18])
+def test_recall_at_the_threshold_beside_boilerplate(spark, monkeypatch, chunk):
+    """Planted pairs at 0.80 to 0.85, a third of the texts with the same boilerplate: all links are found."""
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    rng = np.random.default_rng(6)
+    common = [f"b{k}" for k in range(60)]
+    made, planted = [], 0
+    for i in range(150):
+        own = [f"w{i}x{k}" for k in range(int(rng.integers(60, 200)))]
+        text = common + own if i % 3 == 0 else own
+        copy = list(text)
+        for _ in range(100):
+            copy[int(rng.integers(60 if i % 3 == 0 else 0, len(copy)))] = f"c{rng.integers(1 << 30)}"
+            a, b = set(ngram_join.grams(" ".join(text)).tolist()), set(ngram_join.grams(" ".join(copy)).tolist())
+            j = len(a & b) / len(a | b)
+            if j < 0.85:
+                break
+        planted += 0.8 <= j < 0.85
+        made += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    assert planted >= 50
+    got = sorted(tuple(r) for r in ngram_join.near_groups(spark.createDataFrame(made, "doc_id long, text string").repartition(5)).collect())
+    assert got == sorted(ngram_join.brute_force(made))
+
+
+def test_many_texts_under_one_id(spark):
+    made = [(1, " ".join(f"{i // 2}w{k}" for k in range(30)) + (" end" if i % 2 else "")) for i in range(30)] + [(1, "same words of a copy here")] * 100
+    got = sorted(tuple(r) for r in ngram_join.near_groups(spark.createDataFrame(made, "doc_id long, text string").repartition(5)).collect())
+    assert got == [(1, 1, 1, 0)] * 100 + [(1, 1, 1, 1)] * 30
 
 
 def test_join_cases(spark, no_docs):
