@@ -224,7 +224,14 @@ class PieceCodec:
         return cls.kept[path]
 
     def encode(self, source: bytes) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """Ids without the end id, and the original byte span of each: starts, ends."""
+        """Ids without the end id, and the original byte span of each: starts, ends.
+
+        Bytes that are no valid UTF-8 become replacement characters first; spans count in that text.
+        """
+        try:
+            source.decode()
+        except UnicodeDecodeError:
+            source = source.decode("utf-8", "replace").encode()
         text, starts = self.normalise(source)
         ids = self.aligned.encode(text.decode("utf-8", "replace")) if text else []
         width = self.widths[ids] if ids else np.zeros(0, np.int64)
