@@ -206,13 +206,14 @@ def _measured(forest: Forest | None, with_features: bool, with_carry: bool):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = TRAIN_ROWS) -> Forest | None:
     """Fit on at most max_rows labelled documents, those of the smallest hashed id.
 
-    A document with several labels counts with the smallest of them.
+    A document with several labels counts with the smallest of them, one with several texts with
+    the smallest of those, so that the fit depends on the tables alone.
     """
     prepare(docs.sparkSession)
     chosen = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
-    measured = rows.select("doc_id", "text", F.col("quality").alias("carry")).mapInArrow(_measured(None, True, True), COLUMNS + ", features array<double>, carry int")
-    got = measured.filter("not base_failed").dropDuplicates(["doc_id"]).select("doc_id", "features", "carry").limit(max_rows).collect()  # bounded by max_rows
+    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
+    measured = rows.select("doc_id", "text", F.col("quality").cast("int").alias("carry")).mapInArrow(_measured(None, True, True), COLUMNS + ", features array<double>, carry int")
+    got = measured.filter("not base_failed").select("doc_id", "features", "carry").collect()  # one row for each chosen id: max_rows at most
     got.sort(key=lambda r: r["doc_id"])
     return fit(np.array([r["features"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["carry"] for r in got], float))
 
