@@ -188,12 +188,13 @@ def held_out(id_col: str):
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = TRAIN_ROWS) -> Network | None:
-    """Train on at most max_rows labelled documents that are not held out, those of the smallest hashed id."""
+    """Train on at most max_rows labelled documents that are not held out, those of the smallest hashed id; of an id in several rows the smallest text."""
     prepare(docs.sparkSession)
     rows = docs.filter(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     chosen = rows.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h")).distinct().orderBy("h", "id").limit(max_rows).select("id")
     picked = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    got = picked.mapInArrow(_sampled, "id long, lang string, window binary").collect()  # bounded by max_rows
+    picked = picked.groupBy("id").agg(F.min(F.struct("text", "lang")).alias("one")).select("id", "one.lang", "one.text")
+    got = picked.mapInArrow(_sampled, "id long, lang string, window binary").collect()  # TRAIN_WINDOWS of one row for each chosen id: 2 * max_rows at most
     got.sort(key=lambda r: (r["id"], r["lang"], bytes(r["window"])))
     return train([bytes(r["window"]) for r in got], [r["lang"] for r in got])
 
