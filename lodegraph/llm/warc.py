@@ -12,17 +12,20 @@ length within the frame.
 Bundles are written under a name of their own and the index names only those of successful
 attempts, so a retried task leaves at most an unreferenced file.
 
-Reading: the index rows of a bundle frame are read together; each frame is fetched by its
-offset from the seek table and decompressed alone.
+Reading: the index rows of a bundle frame are read together. A task reads the seek table at the
+end of each bundle that it opens, seeks to a frame by the sizes of those before it, and
+decompresses that frame alone.
 
-Defined cases: a null html is an empty payload; a null url an empty target; a null page_id
+Defined cases: a null html is an empty payload; a very long one is a frame of its own; a null url an empty target; a null page_id
 counts after all others; rows that repeat a page_id are separate records,
 and repeated rows of the smallest page_id are all responses; an empty table gives no bundles and no rows.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -37,10 +40,12 @@ from lodegraph.llm.common import prepare, shared_dir, stored
 MIN_REVISIT = 100
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 26
 LEVEL = 3
+#: Marked pages (an id, a digest and an id each, some 10 MB in all) that may go to every executor.
+BROADCAST_ROWS = 100_000
 # Fixed values of the Zstandard seekable format.
 SKIPPABLE, SEEK_MAGIC = 0x184D2A5E, 0x8F92EAB1
 LAST = (1 << 63) - 1
-INDEX = "page_id long, record_id string, record_type string, refers_to long, bundle string, frame int, frame_start long, frame_length long, raw_start long, raw_length long"
+INDEX = "page_id long, record_id string, record_type string, refers_to long, bundle string, frame int, raw_start long, raw_length long"
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -57,6 +62,27 @@ def read_seek_table(data: bytes) -> list[tuple[int, int]]:
     return [struct.unpack_from("<II", data, len(data) - 9 - 8 * (n - i)) for i in range(n)]
 
 
+class Bundle:
+    """An opened bundle: frames are found by the seek table at its end."""
+
+    def __init__(self, files, path: str):
+        self.source = files.open_input_file(path)
+        size = self.source.size()
+        self.source.seek(size - 9)
+        n = struct.unpack("<IBI", self.source.read(9))[0]
+        self.source.seek(max(0, size - 9 - 8 * n))
+        sizes = [c for c, _ in read_seek_table(self.source.read())]
+        self.places = [0, *itertools.accumulate(sizes)]
+
+    def frame(self, k: int) -> bytes:
+        """The raw bytes of a frame."""
+        self.source.seek(self.places[k])
+        return zstandard.ZstdDecompressor().decompress(self.source.read(self.places[k + 1] - self.places[k]))
+
+    def close(self) -> None:
+        self.source.close()
+
+
 def record(record_id: str, kind: str, url: str, digest: str, size: int, refers_to: str, payload: bytes) -> bytes:
     """One WARC/1.1 record; the body is the payload, and a revisit has none."""
     head = [
@@ -97,7 +123,7 @@ def _written(folder: str, frame_bytes: int, bundle_bytes: int):
             nonlocal raw, rows, at, sizes
             data = packer.compress(b"".join(raw))
             bundle[1].write(data)
-            done.extend((*r[:4], bundle[0], len(frames), at, len(data), *r[4:]) for r in rows)
+            done.extend((*r[:4], bundle[0], len(frames), *r[4:]) for r in rows)
             frames.append((len(data), sizes))
             at += len(data)
             raw, rows, sizes = [], [], 0
@@ -145,15 +171,20 @@ def write_bundles(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html").cast("long"))
     rows = rows.withColumn("order", F.coalesce("page_id", F.lit(LAST)))
-    firsts = rows.filter(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("order").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    ready = rows.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", "size", "first", F.coalesce(F.col("first") < F.col("order"), F.lit(False)).alias("dup"))
+    # repeats are marked on ids and digests alone; the pages stay where they are if the marks are few
+    long = rows.filter(F.col("size") >= MIN_REVISIT).select("order", "digest")
+    firsts = stored(long.groupBy("digest").agg(F.min("order").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "repeated")
+    marks = stored(long.distinct().join(firsts, "digest"), "marks")
+    if marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        marks = F.broadcast(marks)
+    ready = rows.join(marks, ["order", "digest"], "left").select("page_id", "url", "html", "digest", "size", "first", F.coalesce(F.col("first") < F.col("order"), F.lit(False)).alias("dup"))
     return folder, stored(ready.mapInArrow(_written(folder, frame_bytes, bundle_bytes), INDEX), "warc-index")
 
 
 def _read(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = _store(folder)
-        opened: dict[str, object] = {}
+        opened: dict[str, Bundle] = {}
         now, raw = None, b""
         for batch in batches:
             out = []
@@ -162,10 +193,8 @@ def _read(folder: str):
                     if row["bundle"] not in opened:
                         for f in opened.values():
                             f.close()
-                        opened = {row["bundle"]: files.open_input_file(row["bundle"])}
-                    source = opened[row["bundle"]]
-                    source.seek(row["frame_start"])
-                    raw = zstandard.ZstdDecompressor().decompress(source.read(row["frame_length"]))
+                        opened = {row["bundle"]: Bundle(files, row["bundle"])}
+                    raw = opened[row["bundle"]].frame(row["frame"])
                     now = (row["bundle"], row["frame"])
                 fields, body = parse(raw[row["raw_start"]:row["raw_start"] + row["raw_length"]])
                 digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Type"]
@@ -198,12 +227,11 @@ def fetch(folder: str, index: DataFrame, page_ids: list[int]) -> list[tuple[int,
     """The payloads of a few pages by seeking; a revisit gives that of its response."""
     wanted = index.filter(F.col("page_id").isin(page_ids)).select("page_id", F.coalesce("refers_to", "page_id").alias("at"))
     best = Window.partitionBy("page_id").orderBy(F.col("record_type"))
-    places = index.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select(F.col("page_id").alias("at"), "bundle", "frame_start", "frame_length", "raw_start", "raw_length")
+    places = index.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select(F.col("page_id").alias("at"), "bundle", "frame", "raw_start", "raw_length")
     files, _ = _store(folder)
     out = []
     for r in wanted.join(places, "at").collect():
-        with files.open_input_file(r["bundle"]) as f:
-            f.seek(r["frame_start"])
-            raw = zstandard.ZstdDecompressor().decompress(f.read(r["frame_length"]))
+        with contextlib.closing(Bundle(files, r["bundle"])) as bundle:
+            raw = bundle.frame(r["frame"])
         out.append((r["page_id"], parse(raw[r["raw_start"]:r["raw_start"] + r["raw_length"]])[1]))
     return out
