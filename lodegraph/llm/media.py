@@ -14,7 +14,8 @@ Images are grey, as raw rows of bytes. The test tables hold no pictures; ``pictu
 for each embedding (a function of its values alone) and, for every fifth vec_id, a cropped and
 relit copy, so that the query has known copies to find.
 
-Defined cases: a null or empty picture, or one without corners, is its own group; rows that
+Defined cases: a null or empty picture, one whose bytes do not fill whole rows, or one without
+corners, is its own group; a very large picture has corners in each of its cells, at all scales; rows that
 repeat are members of one class; a null embedding is drawn as an empty picture; an empty table
 gives no rows.
 """
@@ -35,7 +36,8 @@ from lodegraph.llm.ngram_join import components, shared_nodes
 SIDE, RADIUS, MARGIN = 64, 7, 9
 TABLES, TABLE_BITS = 3, 42
 BITS = TABLES * TABLE_BITS
-SCALES, KEYPOINTS = (1.0, 0.7), 16
+#: Each scale is STEP times the former, as long as the shorter side keeps LEAST_SIDE pixels; in each cell of CELL pixels squared the KEYPOINTS strongest corners count.
+STEP, LEAST_SIDE, CELL, KEYPOINTS = 0.5**0.5, 32, 64, 16
 MAX_DISTANCE, MIN_AGREE, TOLERANCE = 14, 5, 2.5
 BLOCK = 64
 
@@ -90,7 +92,8 @@ def _resized(image: np.ndarray, scale: float) -> np.ndarray:
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keypoints (x, y, scale, angle) and their descriptors, a number for each table."""
     points, words = [], []
-    for scale in SCALES:
+    side = min(image.shape)
+    for scale in (STEP**k for k in range(64) if k == 0 or side * STEP**k >= LEAST_SIDE - 1e-6):
         a = _blur(_resized(image.astype(float), scale))
         h, w = a.shape
         if min(h, w) <= 2 * MARGIN + 2:
@@ -102,7 +105,11 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         peak = score >= np.max([p[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)
         peak[:MARGIN], peak[-MARGIN:], peak[:, :MARGIN], peak[:, -MARGIN:] = False, False, False, False
         ys, xs = np.nonzero(peak & (score > 1))
-        best = np.lexsort((xs, ys, -score[ys, xs]))[:KEYPOINTS]
+        cell = ys // CELL * (w // CELL + 1) + xs // CELL
+        best = np.lexsort((xs, ys, -score[ys, xs], cell))
+        in_order = cell[best]
+        rank = np.arange(len(best)) - np.searchsorted(in_order, in_order)
+        best = best[rank < KEYPOINTS]
         ys, xs = ys[best], xs[best]
         if not len(ys):
             continue
@@ -164,7 +171,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cls, points, words = [], [], []
         for pixels, width in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if not pixels or not width:
+            if not pixels or not width or width < 0 or len(pixels) % width:
                 cls.append(None)
                 points.append(None)
                 words.append(None)
