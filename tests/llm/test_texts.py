@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodegraph.llm import langid, licenses, line_dedup, packing, pieces, quality, secrets
@@ -323,3 +324,65 @@ def test_candidates_too_many_to_broadcast(docs, rows, monkeypatch):
     monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0)
     plan = secrets.scan(docs)
     assert sorted((str(r.doc_id), len(r.spans)) for r in plan.collect()) == sorted((str(r[0]), len(secrets.brute_force(r[1]))) for r in rows)
+
+
+def test_a_long_text_in_every_operator(spark, tmp_path):
+    """One text of two megabytes beside short ones: all of it counts."""
+    long = "\n".join(f"line {i} of a text that goes on " + "word" * (i % 5) for i in range(50_000)) + "\nthe very last line of it"
+    df = spark.createDataFrame([(1, long), (2, "the very last line of it\nand another one"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(df).collect()} == {1: 0, 2: 1, 3: 0}
+    assert {r.doc_id: r.n_words for r in quality.apply_rules(df, None).collect()}[1] == len(long.split())
+    assert {r.doc_id: r.n_matches for r in licenses.scan(df).collect()} == {1: 0, 2: 0, 3: 0}
+    packed = packing.pack_documents(df, WORDS).filter("doc_id = 1").collect()
+    assert sum(r.length for r in packed) == packed[0].doc_tokens == len(Tokenizer.from_file(WORDS).encode(long, add_special_tokens=False).ids) + 1
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert {r.doc_id: r.n_tokens for r in pieces.digests(df, PIECES).collect()}[1] == len(library.encode(long)) + 1
+
+
+def test_bytes_that_are_no_text():
+    codec = pieces.PieceCodec.of(PIECES)
+    broken = b"ab \xff\xfe cd \xe6\x97"
+    ids, starts, ends = codec.encode(broken)
+    whole = broken.decode("utf-8", "replace")
+    assert ids == codec.library.encode(whole) and codec.encode(whole.encode())[0] == ids
+    assert ends[-1] == len(whole.encode()) and starts[0] == 0
+
+
+def test_fits_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(i, f"{'good prose of many words here and there ' * 3}{i}" if i % 2 else f"buy # now | {i} % " * 9) for i in range(60)]
+    rows += [(i, f"another text under the same id, number {i}, with some more words") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    one, two = (quality.train(d, labels) for d in (docs.repartition(5), docs.orderBy(F.desc("text")).coalesce(1)))
+    assert np.array_equal(one.value, two.value) and np.array_equal(one.threshold, two.threshold)
+
+
+def test_flat_trees_equal_a_walk():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(500, len(quality.FEATURES)))
+    forest = quality.fit(x, (x[:, 4] + x[:, 5] > 0).astype(float))
+
+    def walk(row):
+        total = forest.bias
+        for node in forest.roots:
+            while forest.left[node] != node:
+                node = forest.left[node] if row[forest.feature[node]] <= forest.threshold[node] else forest.right[node]
+            total += forest.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(forest.score(x), [walk(row) for row in x])
+
+
+def test_whole_licenses(spark, tmp_path):
+    """Whole texts with list marks, copyright lines and another spelling are found as what they are."""
+    conditions = licenses.TEMPLATES["BSD-3-Clause"][1].replace("are met: Redistributions", "are met:\n\n1. Redistributions").replace("Redistributions in", "\n2. Redistributions in").replace("Neither", "\n3. Neither")
+    bsd = f"Copyright (c) 2019, Some Body\nAll rights reserved.\n\n{conditions}\n\n{licenses.BSD_WARRANTY}"
+    mit = f"MIT Licence\n\nCopyright (c) 2020 A. Person\n\n{licenses.TEMPLATES['MIT'][2]}\n\n{licenses.MIT_WARRANTY}"
+    prose = " ".join(f"word{i}" for i in range(300))
+    own = "This text may be read by anyone who likes it, on days with an odd number, and by no one else at all."
+    (tmp_path / "Odd-1.0.txt").write_text(own)
+    df = spark.createDataFrame([(1, bsd), (2, f"{prose}\n{mit}\n{prose}"), (3, prose), (4, f"x {own} y")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df, templates=licenses.read_templates(spark, str(tmp_path))).collect()}
+    assert [got[i].license for i in (1, 2, 3, 4)] == ["BSD-3-Clause", "MIT", None, "Odd-1.0"]
+    assert got[1].dice > 0.95 and got[2].dice > 0.95 and "BSD-2-Clause" not in got[1].spans
+    assert {r.license for r in licenses.scan(df).collect()} == {"BSD-3-Clause", "MIT", None}
