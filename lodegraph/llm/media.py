@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm.common import prepare, stored
-from lodegraph.llm.ngram_join import components, shared_nodes
+from lodegraph.llm.ngram_join import linked, ranked, shared_nodes
 
 SIDE, RADIUS, MARGIN = 64, 7, 9
 TABLES, TABLE_BITS = 3, 42
@@ -244,14 +244,11 @@ def copies(media: DataFrame) -> DataFrame:
     classes = stored(described.filter("cls is not null").groupBy("cls").agg(F.min("media_id").alias("rep"), F.first("points").alias("points"), F.first("words").alias("words")), "images")
     entries = classes.select("cls", F.posexplode("words").alias("at", "node")).select("cls", F.pmod("at", F.lit(TABLES)).alias("tree"), "node").distinct().withColumn("weight", F.lit(1))
     dealt = shared_nodes(entries, BLOCK)
-    rows = dealt.join(classes.select("cls", "points", "words"), "cls").select("tree", "node", "i", "j", "cls", "side", "points", "words")
+    described_class = classes.select("cls", ranked(F.col("rep"), F.col("cls")).alias("key"), "points", "words")
+    rows = dealt.join(described_class, "cls").select("tree", "node", "i", "j", "key", "side", "points", "words")
     keys = ["tree", "node", "i", "j"]
     found = stored(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_matched, "a binary, b binary, links long"), "matches")
-    links = found.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("n_links"))
-    roots = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "cls")
-    linked = classes.select("cls", "rep").join(roots, "cls")
-    group = linked.select("cls", "root").join(linked.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("cls", "class_id")
-    known = classes.select("cls", "rep").join(group, "cls", "left").join(links, "cls", "left").select("cls", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = classes.select("cls", "rep").join(linked(found), "cls", "left").select("cls", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     lone = F.col("cls").isNull()
     return described.select("media_id", "cls").join(known, "cls", "left").select(
         "media_id", F.when(lone, F.col("media_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.col("media_id")).otherwise(F.col("copy_of")).alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm.common import drop, prepare, stored
@@ -304,17 +304,32 @@ def _verified(threshold: float):
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "links": pa.array(links, pa.int64())})
 
         for batch in batches:
-            for tree, node, i, j, cls, side, gram_bytes, nodes in zip(*(batch.column(k) for k in range(8)), strict=True):
+            for tree, node, i, j, key_of, side, gram_bytes, nodes in zip(*(batch.column(k) for k in range(8)), strict=True):
                 now = (tree.as_py(), node.as_py(), i.as_py(), j.as_py())
                 if now != key:
                     yield from close()
                     key, rows = now, []
-                rows.append((None, cls.as_py(), side.as_py(), gram_bytes.as_py(), nodes.values.to_numpy()))
+                rows.append((None, key_of.as_py(), side.as_py(), gram_bytes.as_py(), nodes.values.to_numpy()))
         yield from close()
 
     return run
 
 
+def ranked(rep: Column, cls: Column) -> Column:
+    """A class's key in byte order of its smallest id, none last: the smallest key of a group names the group's smallest id."""
+    order = F.unhex(F.lpad(F.hex(F.coalesce(rep, F.lit(0)).bitwiseXOR(F.lit("-9223372036854775808").cast("long"))), 16, "0"))
+    return F.concat(F.when(rep.isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), order, cls)
+
+
+def rep_of(key: Column) -> Column:
+    number = F.conv(F.hex(F.substring(key, 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit("9223372036854775808").cast("decimal(20,0)")
+    return F.when(F.hex(F.substring(key, 1, 1)) == "00", number.cast("long"))
+
+
+def cls_of(key: Column) -> Column:
+    return F.substring(key, 10, 16)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of the edges (a, b): root is the smallest node of the component."""
     pairs = stored(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct(), "edges")
@@ -375,28 +390,34 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = shared_nodes(entries, block)
 
     # the n-grams of the classes that share a node, from a text of theirs; a row is known by its id and its text's hash
-    shared = stored(dealt.select("cls").distinct(), "shared")
-    wanted = classes.join(shared, "cls", "left_semi").select("rep", F.col("text_hash").alias("rep_hash"))
+    shared = stored(classes.join(dealt.select("cls").distinct(), "cls", "left_semi").select("cls", "rep", "text_hash"), "shared")
+    wanted = shared.select("rep", F.col("text_hash").alias("rep_hash"))
     chosen = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("text")
     payload = chosen.mapInArrow(_payload(words), "cls binary, grams binary").filter("cls is not null").dropDuplicates(["cls"])
-    place = entries.join(shared, "cls", "left_semi").groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("tree", "node"))).alias("at"))  # a node for each trie at most
+    place = entries.join(shared.select("cls", "rep"), "cls").groupBy("cls").agg(F.max("rep").alias("rep"), F.map_from_entries(F.collect_list(F.struct("tree", "node"))).alias("at"))  # a node for each trie at most
     nodes = F.array(*(F.coalesce(F.try_element_at("at", F.lit(t)), F.xxhash64("cls", F.lit(t))) for t in range(trees)))  # none: a number of its own
-    payload = payload.join(place.select("cls", nodes.alias("nodes")), "cls")
+    payload = payload.join(place.select("cls", ranked(F.col("rep"), F.col("cls")).alias("key"), nodes.alias("nodes")), "cls")
 
-    rows = dealt.join(payload, "cls").select("tree", "node", "i", "j", "cls", "side", "grams", "nodes")
+    rows = dealt.join(payload, "cls").select("tree", "node", "i", "j", "key", "side", "grams", "nodes")
     keys = ["tree", "node", "i", "j"]
     found = stored(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verified(threshold), "a binary, b binary, links long"), "links")
 
-    links = found.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("n_links"))
-    roots = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "cls")
-    linked = classes.select("cls", "rep").join(roots, "cls")
-    smallest = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    group = linked.select("cls", "root").join(smallest, "root").select("cls", "class_id")
-    known = classes.select("cls", "rep", "rows").join(group, "cls", "left").join(links, "cls", "left")
+    known = classes.select("cls", "rep", "rows").join(linked(found), "cls", "left")
     known = known.select("cls", "rows", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return _told(signed.select("doc_id", "cls"), stored(known, "known"))
 
 
+def linked(found: DataFrame) -> DataFrame:
+    """(cls, class_id, n_links) of linked classes, from numbers of links (a, links) and edges (a, b) of ranked keys.
+
+    The root of a component is its smallest key and names the class id, so that no row of a large
+    group need meet its root in a join.
+    """
+    links = found.filter("b is null").groupBy(cls_of(F.col("a")).alias("cls")).agg(F.sum("links").alias("n_links"))
+    roots = components(found.filter("b is not null").select("a", "b"))
+    return roots.select(cls_of(F.col("node")).alias("cls"), rep_of(F.col("root")).alias("class_id")).join(links, "cls", "left")
+
+
 def _told(signed: DataFrame, known: DataFrame) -> DataFrame:
     """Each row with what is known of its class. Classes of many rows go to the rows, so that no task gets all rows of one."""
     total = signed.count()

@@ -282,3 +282,11 @@ def test_near_duplicates_counts_rows_and_not_ids(spark):
     assert sorted(map(tuple, out.collect()), key=str) == want and out.columns == frame.columns
     unique = spark.createDataFrame([(1, text("a")), (None, text("a")), (None, text("b"))], "doc_id long, text string")
     assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, unique, "").collect()), key=str) == sorted([(1, text("a")), (None, text("b"))], key=str)
+
+
+def test_ranked_keys(spark):
+    ids = [None, 0, -1, 1, 5, (1 << 63) - 1, -(1 << 63)]
+    df = spark.createDataFrame([(i, bytes([k] * 16)) for k, i in enumerate(ids)], "rep long, cls binary").select("rep", "cls", ngram_join.ranked(F.col("rep"), F.col("cls")).alias("key"))
+    got = df.select("rep", "cls", "key", ngram_join.rep_of(F.col("key")).alias("r"), ngram_join.cls_of(F.col("key")).alias("c")).collect()
+    assert all(r.rep == r.r and r.cls == r.c for r in got)
+    assert [r.rep for r in sorted(got, key=lambda r: bytes(r.key))] == [*sorted(i for i in ids if i is not None), None]
