@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.operators.iterate import cut, kernel, small
+from lodegraph.operators.iterate import KERNEL_EDGES, cut, kernel, small
 from lodegraph.operators.model import COMMUNITY_EDGES, Graph, prop
 
 SWEEPS = 20
@@ -67,9 +67,16 @@ def _sequential(sweeps: int):
 
 
 def propagate(graph: Graph, types: list[str] | None = None, sweeps: int = SWEEPS, synchronous: bool = False) -> DataFrame:
-    """(id, community_id, hub): one node after another for small graphs, else all nodes at once in rounds."""
+    """(id, community_id, hub): one node after another, or all nodes at once in rounds if synchronous.
+
+    The two give different labels, so the caller names the one that is wanted and the size of the
+    graph never chooses: the sequential order has no distributed form and is an error beyond
+    KERNEL_EDGES edges. The synchronous rounds have no hubs and take the smallest of equal labels.
+    """
     edges = graph.of(COMMUNITY_EDGES if types is None else types)
-    if not synchronous and small(edges):
+    if not synchronous:
+        if not small(edges):
+            raise ValueError(f"sequential label propagation takes {KERNEL_EDGES} edges at most; ask for synchronous=True")
         return kernel(edges, graph.nodes.select("id"), _sequential(sweeps), "id long, community_id long, hub boolean")
     return synchronous_labels(graph.nodes.select("id").distinct(), edges, sweeps)
 

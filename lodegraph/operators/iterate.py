@@ -15,9 +15,15 @@ KERNEL_EDGES = 2_000_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (one machine), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under spark.checkpoint.dir or the context's checkpoint folder.
+
+    Where both are unset a temporary one is made, on one machine (a local master) only.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(shared_folder, "base", None) or "file://" + tempfile.mkdtemp(prefix="lodegraph-")
         shared_folder.base = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -63,7 +63,10 @@ def _pagerank_kernel(damping: float, rounds: int, tolerance: float):
 def pagerank(graph: Graph, types: list[str] | None = None, damping: float = DAMPING, max_rounds: int | None = None, tolerance: float | None = None, force_loop: bool = False) -> DataFrame:
     """(id, pagerank). Mass starts even over all nodes and that of nodes without out-edges is spread over all.
 
-    Nodes without any allowed edge take part but are reported as 0.
+    Nodes without any allowed edge take part but are reported as 0. The figures are those after
+    max_rounds rounds, or when none moves by tolerance: where these are not given, MAX_ROUNDS and
+    TOLERANCE, but MANY_ROUNDS and MANY_TOLERANCE above MANY_NODES nodes. Give both for the same
+    rounds at every size. The kernel and the loop give the same figures.
     """
     types = BEHAVIOURAL if types is None else types
     nodes, edges = graph.nodes.select("id").distinct(), graph.of(types)
@@ -135,15 +138,17 @@ def _brandes(adj: Adjacency, source: int) -> np.ndarray:
         new = np.unique(to[distance[to] < 0])
         distance[new] = len(levels) + 1
         down = distance[to] == len(levels) + 1
-        a, b = at[who[down]], to[down]
-        np.add.at(paths, b, paths[a])
-        levels.append((a, b, paths[a] / paths[b]))
+        a, b = who[down], to[down]
+        over = paths[at[a]]
+        place = np.searchsorted(new, b)  # sums by place in the level: the whole graph is not walked for each
+        paths[new] = np.bincount(place, over, len(new))
+        levels.append((at, a, b, over / paths[b]))
         if len(new):
             paths[new] /= paths[new].max()
         at = new
     gain = np.zeros(n)
-    for a, b, share in reversed(levels):
-        np.add.at(gain, a, share * (1 + gain[b]))
+    for at, a, b, share in reversed(levels):
+        gain[at] += np.bincount(a, share * (1 + gain[b]), len(at))
     gain[source] = 0
     return gain
 
@@ -169,7 +174,7 @@ def _shipped(graph: Graph, types: list[str]) -> tuple[Adjacency, int]:
     nodes = graph.nodes.select("id").distinct()
     edges = graph.of(types)
     if not small(edges, BROADCAST_EDGES) or not small(nodes, BROADCAST_EDGES):
-        raise ValueError(f"more than {BROADCAST_EDGES} edges or nodes: take pivots with levels() instead")
+        raise ValueError(f"more than {BROADCAST_EDGES} edges or nodes: no distributed way is built in; harmonic_sketch() takes any size")
     ids = np.sort(nodes.toPandas()["id"].to_numpy(dtype="int64"))
     e = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").toPandas().astype("int64")
     return Adjacency(e, ids), len(ids)

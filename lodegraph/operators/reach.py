@@ -2,45 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.operators.iterate import cut, kernel, small
+from lodegraph.operators.iterate import KERNEL_EDGES, cut, kernel, small
 from lodegraph.operators.model import Graph, prop
 from lodegraph.operators.ranking import Adjacency
 
 #: Where no depth is given.
 DEPTH = 10
+#: Steps of walks from single seeds, with the adjacency in every task; beyond it all seeds walk together by joins.
+WALK_STEPS = 1 << 34
 
 
 def _walked(starts: DataFrame, edges: DataFrame, depth: int | None, backward: bool) -> DataFrame:
-    """bfs() with the adjacency in every task, a seed at a time. Only behind small()."""
+    """bfs() with the adjacency in every task, a seed at a time. Only behind few()."""
     a, b = ("dst", "src") if backward else ("src", "dst")
     e = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct().toPandas().astype("int64")  # KERNEL_EDGES at most
     adj = starts.sparkSession.sparkContext.broadcast(Adjacency(e, np.unique(e.to_numpy())))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, seed = adj.value, pdf["seed"].iloc[0]
-        own = pdf["id"].drop_duplicates().to_numpy(dtype="int64")
+    def walk(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        g = adj.value
         at = np.searchsorted(g.ids, own)
         known = at < len(g.ids)
         known[known] = g.ids[at[known]] == own[known]
-        found = np.full(len(g.ids), -1)
+        found = np.full(len(g.ids), -1, np.int32)
         at = at[known]
         found[at] = 0
-        k = 0
+        hits, far, k = [at], [np.zeros(len(at), np.int32)], 0
         while len(at) and (depth is None or k < depth):
             k += 1
             to = np.unique(g.level(at)[1])
             at = to[found[to] < 0]
             found[at] = k
-        hit = np.flatnonzero(found >= 0)
-        ids, far = np.concatenate([g.ids[hit], own[~known]]), np.concatenate([found[hit], np.zeros((~known).sum(), int)])
-        return pd.DataFrame({"seed": np.full(len(ids), seed), "id": ids, "depth": far})
+            hits.append(at)
+            far.append(np.full(len(at), k, np.int32))
+        return np.concatenate([g.ids[np.concatenate(hits)], own[~known]]), np.concatenate([*far, np.zeros((~known).sum(), np.int32)])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for seed, own in zip(part["seed"], part["own"], strict=True):
+                ids, far = walk(np.unique(np.asarray(own, "int64")))
+                yield pd.DataFrame({"seed": np.full(len(ids), seed), "id": ids, "depth": far})
+
+    seeds = starts.groupBy("seed").agg(F.collect_set("id").alias("own"))
+    return seeds.repartition(starts.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "seed long, id long, depth int")
+
 
-    return starts.select(F.col("seed").cast("long").alias("seed"), "id").groupBy("seed").applyInPandas(run, "seed long, id long, depth int")
+def few(starts: DataFrame, edges: DataFrame) -> bool:
+    """Whether the adjacency may go to every task, and the seeds times the edges, which bound the steps of all walks, are at most WALK_STEPS."""
+    if not small(edges):
+        return False
+    n = edges.limit(KERNEL_EDGES).count()
+    return starts.limit(WALK_STEPS // max(1, n) + 1).count() * n <= WALK_STEPS
 
 
 def bfs(starts: DataFrame, edges: DataFrame, depth: int | None = DEPTH, backward: bool = True, force_loop: bool = False) -> DataFrame:
@@ -48,7 +66,7 @@ def bfs(starts: DataFrame, edges: DataFrame, depth: int | None = DEPTH, backward
 
     starts has (seed, id); backward follows edges from dst to src. None: until nothing is new.
     """
-    if not force_loop and small(edges) and small(starts):
+    if not force_loop and few(starts, edges):
         return _walked(starts, edges, depth, backward)
     a, b = ("dst", "src") if backward else ("src", "dst")
     step = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()

@@ -39,6 +39,7 @@ _p1("gql_node_match", "all_functions", f"with {N} select id as f_id, name as f_n
 _p1("gql_eq", "MATCH (a:Function) WHERE a.name = 'part_17' RETURN a", f"with {N} {_one} name = 'part_17'")
 _p1("gql_inline_property", "MATCH (a:Function {cyclomatic: '7'}) RETURN a", f"with {N} {_one} cyclomatic = 7")
 _p1("gql_two_conditions", "MATCH (a:Function) WHERE a.name = 'part_17' AND a.name = 'part_18' RETURN a", f"with {N} {_one} name = 'part_17' and name = 'part_18'")
+_p1("gql_and", "MATCH (a:Function) WHERE a.name LIKE 'part_1*' AND a.return_type = 'Brand#11' RETURN a", f"with {N} {_one} starts_with(name, 'part_1') and return_type = 'Brand#11'")
 _p1("gql_like_prefix", "MATCH (a:Function) WHERE a.name LIKE 'part_1*' RETURN a", f"with {N} {_one} starts_with(name, 'part_1')")
 _p1("gql_like_suffix", "MATCH (a:Function) WHERE a.name LIKE '*9' RETURN a", f"with {N} {_one} ends_with(name, '9')")
 _p1("gql_like_contains", "MATCH (a:Function) WHERE a.file_path LIKE '*Brand#1*' RETURN a", f"with {N} {_one} contains(file_path, 'Brand#1')")

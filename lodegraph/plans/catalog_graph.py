@@ -155,10 +155,10 @@ def reach_centrality(spark, d):
 _walk = lambda q, depth, start: f"{N}, {C(q)}, w(seed, id, d) as (select id, id, 0 from n where {start} union select seed, c.src, d + 1 from w join c on c.dst = w.id where d < {depth})"
 
 
-@query(f"with recursive {_walk(45, 10, 'id % 10 = 0')}, v as (select seed, id, min(d) as d from w group by seed, id), x as (select seed, count(*) filter (d = 1) as dc, count(*) as z, avg(cyclomatic) as cx from v join n using (id) where d > 0 and seed <> id group by seed) select n.id, coalesce(dc, 0) as direct_callers, coalesce(z, 0) as impact_zone, round(least(least(25.0 * coalesce(dc, 0), 40.0) + least(12.0 * coalesce(z, 0), 35.0) + least(2.0 * coalesce(cx, 1.0), 10.0), 100.0), 6)::double as score from n left join x on x.seed = n.id where n.id % 10 = 0")
+@query(f"with recursive {_walk(45, 10, 'true')}, v as (select seed, id, min(d) as d from w group by seed, id), x as (select seed, count(*) filter (d = 1) as dc, count(*) as z, avg(cyclomatic) as cx from v join n using (id) where d > 0 and seed <> id group by seed) select n.id, coalesce(dc, 0) as direct_callers, coalesce(z, 0) as impact_zone, round(least(least(25.0 * coalesce(dc, 0), 40.0) + least(12.0 * coalesce(z, 0), 35.0) + least(2.0 * coalesce(cx, 1.0), 10.0), 100.0), 6)::double as score from n left join x on x.seed = n.id")
 def blast_bfs(spark, d):
     g = P.p1(spark, d, 45)
-    return rounded(reach.blast_bfs(g, g.nodes.filter("id % 10 = 0").select("id")), "score")
+    return rounded(reach.blast_bfs(g, g.nodes.select("id")), "score")
 
 
 @query(f"with recursive {_walk(42, 10, 'id = 7')} select id, min(d) as depth from w where id <> 7 group by id")
@@ -321,11 +321,11 @@ def migration_schedule(spark, d):
 
 def _zone(spark, d):
     g = P.p1(spark, d, 45)
-    t = g.nodes.filter("id % 5 = 0").select(F.col("id").alias("seed"), "id")
-    return g, reach.bfs(t, g.of(), 10).filter("depth > 0 and seed <> id").select(F.col("seed").alias("id"), F.col("id").alias("member"))
+    t = g.nodes.select(F.col("id").alias("seed"), "id")
+    return g, iterate.cut(reach.bfs(t, g.of(), 10).filter("depth > 0 and seed <> id").select(F.col("seed").alias("id"), F.col("id").alias("member")), "zone")
 
 
-@query(f"""with recursive {_walk(45, 10, 'id % 5 = 0')}, z as (select distinct seed as id, w.id as member from w where d > 0 and seed <> w.id),
+@query(f"""with recursive {_walk(45, 10, 'true')}, z as (select distinct seed as id, w.id as member from w where d > 0 and seed <> w.id),
 v as (select id, 1 as o, 'ScaleFailure' as kind, cast(count(*) as varchar) as detail from z group by id having count(*) > 8
 union all select z.id, 2, 'DomainIsolation', min(a.repo || '-' || b.repo) from z join n a on a.id = z.id join n b on b.id = z.member where (a.repo = 'PROMO' and b.repo = 'ECONOMY') or (a.repo = 'ECONOMY' and b.repo = 'PROMO') group by z.id
 union all select id, 3, 'CascadeHazard', null from n where id % 97 > 90)

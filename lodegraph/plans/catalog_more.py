@@ -248,3 +248,36 @@ def export_graphml(spark, d):
     from lodegraph.sources import exports
 
     return exports.graphml(P.p1(spark, d, 45)).filter("part = 2").select("value")
+
+
+# Types and signatures ---------------------------------------------------------------------------------------------------------
+
+#: Type names as they stand in sources, with the common type that each must give.
+TYPE_NAMES = [("i64", "Integer"), ("Vec<String>", "List"), ("  &str", "String"), ("Boolean", "Boolean"), ("double", "Float"), ("dict[str, int]", "Object"), ("Widget", "Unknown"), ("usize", "Integer"), ("f32", "Float")]
+
+
+@query(f"select doc_id, case doc_id % {len(TYPE_NAMES)} {' '.join(f"when {k} then '{t}'" for k, (_, t) in enumerate(TYPE_NAMES))} end as t, case doc_id % {len(TYPE_NAMES)} {' '.join(f"when {k} then '{dict(Integer='int64', Float='double', String='string', Boolean='bool', List='repeated string', Object='bytes', Unknown='string')[t]}'" for k, (_, t) in enumerate(TYPE_NAMES))} end as proto from documents")
+def common_types(spark, d):
+    """Every kind of type name, once for each document, as a common type and in an interface language."""
+    name = F.element_at(F.array(*(F.lit(n) for n, _ in TYPE_NAMES)), (F.col("doc_id") % len(TYPE_NAMES) + 1).cast("int"))
+    return P.table(spark, d, "documents").select("doc_id", T.common_type(name).alias("t")).select("doc_id", "t", T.idl_type(F.col("t"), "proto").alias("proto"))
+
+
+@query(f"with n as ({P.P1_NODES_SQL}) select id, name, 1 as arity, lower(brand) as returns from n")
+def signatures(spark, d):
+    """Name, number of parameters and return type of every function's signature."""
+    return P.p1_nodes(spark, d).select("id", T.signature(F.col("signature")).alias("s")).select("id", "s.name", "s.arity", "s.returns")
+
+
+#: Right sides of assignments, with the type that each must give.
+RIGHT_SIDES = [("12", "Int"), ("1.5", "Float"), ('"text"', "String"), ("[1, 2]", "List"), ("compute(1)", "Unknown"), ("True", "Bool"), ("{}", "Dict")]
+
+
+@query(f"""with s as (select o_custkey as fn, 'v' || (o_orderkey % 4) as variable, case o_orderkey % {len(RIGHT_SIDES)} {' '.join(f"when {k} then '{t}'" for k, (_, t) in enumerate(RIGHT_SIDES))} end as t from orders)
+select fn, variable, case count(distinct t) filter (t <> 'Unknown') when 0 then 'Unknown' when 1 then min(t) filter (t <> 'Unknown') else 'Union' end as type, round(avg((t <> 'Unknown')::int), 6)::double as confidence from s group by all""")
+def inferred_kinds(spark, d):
+    """Types of variables that are assigned once or more, by what stands to the right."""
+    right = F.element_at(F.array(*(F.lit(r) for r, _ in RIGHT_SIDES)), (F.col("o_orderkey") % len(RIGHT_SIDES) + 1).cast("int"))
+    variable = F.concat(F.lit("v"), (F.col("o_orderkey") % 4).cast("string"))
+    stmts = P.table(spark, d, "orders").select(F.col("o_custkey").alias("fn"), F.array(variable).alias("defs"), F.concat(variable, F.lit(" = "), right).alias("text"))
+    return taint.inferred_types(stmts).select("fn", "variable", "type", F.round("confidence", 6).alias("confidence"))
