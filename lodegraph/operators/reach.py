@@ -57,8 +57,8 @@ def few(starts: DataFrame, edges: DataFrame) -> bool:
     """Whether the adjacency may go to every task, and the seeds times the edges, which bound the steps of all walks, are at most WALK_STEPS."""
     if not small(edges):
         return False
-    n = edges.limit(KERNEL_EDGES).count()
-    return starts.limit(WALK_STEPS // max(1, n) + 1).count() * n <= WALK_STEPS
+    most = min(WALK_STEPS // max(1, edges.count()), KERNEL_EDGES)
+    return starts.limit(most + 1).count() <= most
 
 
 def bfs(starts: DataFrame, edges: DataFrame, depth: int | None = DEPTH, backward: bool = True, force_loop: bool = False) -> DataFrame:
