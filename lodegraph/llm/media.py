@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm.common import prepare, stored
-from lodegraph.llm.ngram_join import linked, ranked, shared_nodes
+from lodegraph.llm.ngram_join import linked, ranked, shared_nodes, told
 
 SIDE, RADIUS, MARGIN = 64, 7, 9
 TABLES, TABLE_BITS = 3, 42
@@ -241,14 +241,13 @@ def copies(media: DataFrame) -> DataFrame:
     """One row for each row of media: media_id, class_id (the smallest media_id of its group), copy_of, n_links."""
     prepare(media.sparkSession)
     described = stored(media.select("media_id", "pixels", "width").mapInArrow(_described, "media_id long, cls binary, points binary, words array<long>"), "described")
-    classes = stored(described.filter("cls is not null").groupBy("cls").agg(F.min("media_id").alias("rep"), F.first("points").alias("points"), F.first("words").alias("words")), "images")
+    classes = stored(described.filter("cls is not null").groupBy("cls").agg(F.min("media_id").alias("rep"), F.count("*").alias("rows"), F.first("points").alias("points"), F.first("words").alias("words")), "images")
     entries = classes.select("cls", F.posexplode("words").alias("at", "node")).select("cls", F.pmod("at", F.lit(TABLES)).alias("tree"), "node").distinct().withColumn("weight", F.lit(1))
     dealt = shared_nodes(entries, BLOCK)
     described_class = classes.select("cls", ranked(F.col("rep"), F.col("cls")).alias("key"), "points", "words")
     rows = dealt.join(described_class, "cls").select("tree", "node", "i", "j", "key", "side", "points", "words")
     keys = ["tree", "node", "i", "j"]
     found = stored(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_matched, "a binary, b binary, links long"), "matches")
-    known = classes.select("cls", "rep").join(linked(found), "cls", "left").select("cls", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    lone = F.col("cls").isNull()
-    return described.select("media_id", "cls").join(known, "cls", "left").select(
-        "media_id", F.when(lone, F.col("media_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.col("media_id")).otherwise(F.col("copy_of")).alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    known = classes.select("cls", "rep", "rows").join(linked(found), "cls", "left")
+    known = known.select("cls", "rows", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return told(described.select(F.col("media_id").alias("doc_id"), "cls"), stored(known, "known")).withColumnRenamed("doc_id", "media_id")

@@ -404,7 +404,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     known = classes.select("cls", "rep", "rows").join(linked(found), "cls", "left")
     known = known.select("cls", "rows", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return _told(signed.select("doc_id", "cls"), stored(known, "known"))
+    return told(signed.select("doc_id", "cls"), stored(known, "known"))
 
 
 def linked(found: DataFrame) -> DataFrame:
@@ -418,7 +418,7 @@ def linked(found: DataFrame) -> DataFrame:
     return roots.select(cls_of(F.col("node")).alias("cls"), rep_of(F.col("root")).alias("class_id")).join(links, "cls", "left")
 
 
-def _told(signed: DataFrame, known: DataFrame) -> DataFrame:
+def told(signed: DataFrame, known: DataFrame) -> DataFrame:
     """Each row with what is known of its class. Classes of many rows go to the rows, so that no task gets all rows of one."""
     total = signed.count()
     most = max(LARGE_LEAST, -(-total // LARGE_CLASSES))
