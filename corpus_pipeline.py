@@ -1,7 +1,15 @@
 """A training-corpus pipeline: stages that each take and return documents.
 
 Each stage is (name, function) with the function taking (spark, docs, sf_dir). What a stage
-keeps is all that the next one sees; the columns other than text travel along untouched.
+keeps is all that the next one sees; the columns other than text travel along untouched, whatever
+their names.
+
+Defined cases, in every stage: an empty table gives an empty one; a null in any column stays, but
+a null text counts as an empty one where text is read (quality rules reject it, as it has fewer
+than ten words); very long texts are read whole; repeated rows count each for themselves, but line
+dedup takes rows of one doc_id as one document, and null doc_ids as one that comes last. Ties:
+of near copies the row of the smallest doc_id stays, a null one last, and of equal doc_ids any
+one, but exactly one.
 """
 
 from __future__ import annotations
