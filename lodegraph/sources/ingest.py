@@ -6,6 +6,7 @@ import ast
 import fnmatch
 import json
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions.text import language
 from lodegraph.operators.model import Graph, edge_table, node_table
+from lodegraph.sources import braces
 
 MAX_BYTES, PROBE_BYTES = 1 << 20, 8192
 SYMBOLS = "file string, pos int, name string, qualified_name string, kind string, start_line int, end_line int, signature string, return_type string, parameters array<struct<name:string,param_type:string,default_value:string>>, cyclomatic int"
@@ -113,8 +115,8 @@ def regex_symbols(files: DataFrame, patterns: dict[str, list[tuple[str, str]]] =
     return found
 
 
-#: Extractors by language: (path, text) to symbols and relations. Others can be added.
-EXTRACTORS: dict[str, Callable[[str, str], tuple[list[tuple], list[tuple]]]] = {"python": python_symbols}
+#: Extractors by language: (path, text) to symbols and relations. Others can be added; languages without one have the symbols of PATTERNS.
+EXTRACTORS: dict[str, Callable[[str, str], tuple[list[tuple], list[tuple]]]] = {"python": python_symbols} | {lang: partial(braces.brace_symbols, lang=lang) for lang in braces.PATTERNS}
 
 
 def _extracted(part: int, schema: str):
@@ -133,7 +135,10 @@ def _extracted(part: int, schema: str):
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Symbols and relations of all files."""
     parsed = files.filter(F.col("language").isin(list(EXTRACTORS)))
-    symbols = parsed.mapInPandas(_extracted(0, SYMBOLS), SYMBOLS).unionByName(regex_symbols(files).withColumn("qualified_name", F.col("name")), allowMissingColumns=True)
+    symbols = parsed.mapInPandas(_extracted(0, SYMBOLS), SYMBOLS)
+    others = {lang: rules for lang, rules in PATTERNS.items() if lang not in EXTRACTORS}
+    if others:
+        symbols = symbols.unionByName(regex_symbols(files, others).withColumn("qualified_name", F.col("name")), allowMissingColumns=True)
     return symbols, parsed.mapInPandas(_extracted(1, RELATIONS), RELATIONS)
 
 
