@@ -80,7 +80,7 @@ def test_sampled_betweenness_has_the_operators_pivots(spark):
     assert rows(catalog.QUERIES["betweenness_sampled"](spark, SMALL)) == rows(whole)
 
 
-@pytest.mark.parametrize("name", ["pagerank"])
+@pytest.mark.parametrize("name", ["pagerank", "pagerank_top"])
 def test_pagerank_has_the_rounds_of_its_sql_above_the_gate(spark, monkeypatch, name):
     monkeypatch.setattr(ranking, "MANY_NODES", 10)
     test_oracle(spark, name)
