@@ -101,11 +101,11 @@ def p3(spark: SparkSession, sf_dir: str, kind: str) -> Graph:
     e = table(spark, sf_dir, "events")
     rows = e.filter(F.col("event_type") == kind).select("ts", "event_id", "user_id", F.to_date("ts").alias("day"))
     w = Window.partitionBy("day").orderBy("ts", "event_id")
-    inner = rows.select("day", "ts", "event_id", F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"))
+    inner = rows.select("day", "ts", "event_id", F.col("user_id").alias("src"), F.lead(F.struct("user_id")).over(w).alias("next"))  # a struct: a next event without a user is none, but is there
     # the last event of a day is followed by the first of the next day that has any: one row for each day
     first = rows.groupBy("day").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
     after = first.select("day", F.lead("first").over(Window.orderBy("day")).alias("next_first"))
-    pairs = inner.join(F.broadcast(after), "day").select("src", F.coalesce("dst", "next_first").alias("dst"))
+    pairs = inner.join(F.broadcast(after), "day").select("src", F.when(F.col("next").isNull(), F.col("next_first")).otherwise(F.col("next.user_id")).alias("dst"))
     nodes = e.select(F.col("user_id").alias("id")).distinct().select("id", F.lit("Function").alias("node_type"), F.concat(F.lit("user_"), "id").alias("name"))
     return Graph(node_table(nodes), edge_table(pairs.filter("dst is not null and src <> dst").withColumn("edge_type", F.lit("Uses"))))
 

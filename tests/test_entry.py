@@ -93,3 +93,11 @@ def test_harmonic_has_the_distances_of_its_sql(spark, tmp_path):
     con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
     got = {r.id: r.harmonic for r in catalog.QUERIES["harmonic"](spark, str(tmp_path)).collect()}
     assert got == dict(con.sql(catalog.ORACLES["harmonic"]).fetchall()) and len(got) == 100
+
+
+def test_harmonic_with_events_of_no_user(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"copy (select i as event_id, timestamp '2024-01-01' + to_hours(cast(i as integer)) as ts, case when i % 5 <> 3 then i % 7 end as user_id, 'purchase' as event_type from range(60) t(i)) to '{tmp_path}/events.parquet'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got = {r.id: r.harmonic for r in catalog.QUERIES["harmonic"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.sql(catalog.ORACLES["harmonic"]).fetchall()) and got[None] == 0
