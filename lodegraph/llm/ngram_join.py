@@ -21,8 +21,9 @@
    A pair counts in the first trie whose node it shares, so it counts once. Pairs within a group
    are compared by vectors and never become rows: a group returns a number of links for each class
    and a spanning forest.
-5. Groups of linked classes are the connected components of those forests (large-star and
-   small-star rounds, written to the shared folder after each).
+5. Groups of linked classes are the connected components of those forests: up to ``FEW_EDGES``
+   edges, which are counted, meet in the driver; more go by large-star and small-star rounds,
+   written to the shared folder after each, with the same result.
 
 Defined cases: texts that are null or hold no word are their own group with no link; a very long
 text is one set of all its n-grams; rows that repeat a doc_id are rows of their own, whatever
@@ -57,6 +58,8 @@ SEED = 20240229
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: The bits of a tail below the prefix of each length. The lowest six hold the size of the set, as a power of two.
 BELOW = {4: 48, 5: 32, 6: 16, 7: 6}
+#: Edges up to which the components are found in the driver: about 50 bytes each. A round writes three tables, and each file starts processes of its own.
+FEW_EDGES = 50_000
 #: Most rounds of the components; each at least halves what is left.
 ROUNDS = 40
 
@@ -330,9 +333,28 @@ def cls_of(key: Column) -> Column:
     return F.substring(key, 10, 16)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _united(edges: pa.Table) -> pa.Table:
+    """(node, root) of the components of edges (hi, lo)."""
+    hi, lo = edges["hi"].to_pylist(), edges["lo"].to_pylist()
+    up = {x: x for x in (*hi, *lo)}
+
+    def top(x: bytes) -> bytes:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in zip(hi, lo, strict=True):
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return pa.table({"node": pa.array(list(up), pa.binary()), "root": pa.array([top(x) for x in up], pa.binary())})
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(node, root) for all nodes of the edges (a, b): root is the smallest node of the component."""
-    pairs = stored(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct(), "edges")
+    edges = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo")
+    if edges.count() <= few:
+        return edges.sparkSession.createDataFrame(_united(edges.toArrow()), "node binary, root binary")
+    pairs = stored(edges.distinct(), "edges")
     for _ in range(ROUNDS):
         # large star: every larger neighbour of a node points at the smallest of its neighbourhood
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodegraph.llm import licenses, line_dedup, media, ngram_join, quality, secrets, warc
+from lodegraph.llm import common, licenses, line_dedup, media, ngram_join, quality, secrets, warc
 from lodegraph.llm.common import texts
 
 
@@ -105,6 +105,18 @@ def test_components_of_a_long_chain(spark):
     assert len(got) == 63 and {v for k, v in got.items() if k[0] == 0} == {bytes([0, 0])} and got[bytes([9, 2])] == bytes([9, 1])
 
 
+@pytest.mark.parametrize("n", [0, 40, 120, 300])
+def test_few_edges_write_no_table_and_give_what_the_rounds_give(spark, n):
+    """Each file that an executor writes starts processes, and the rounds wrote twelve tables and more for any edge."""
+    ends = np.random.default_rng(n).integers(0, 150, (n, 2)).tolist()
+    edges = spark.createDataFrame([(bytes([1, a]), bytes([1, b])) for a, b in ends], "a binary, b binary")
+    rows = lambda df: sorted((bytes(r.node), bytes(r.root)) for r in df.collect())
+    before = list(common.WRITTEN)
+    got = rows(ngram_join.components(edges))
+    assert common.WRITTEN == before
+    assert got == rows(ngram_join.components(edges, few=-1))
+
+
 # Bundles
 
 
